@@ -1,6 +1,12 @@
 """The queries of this subpackage and their SQL."""
 
-from corpuskit.llm import bpe, unify
+from corpuskit.llm import bpe, mix, pieces, sample, unify
 
-QUERIES = {f.__name__: f for f in (unify.p7_found, unify.p7_forms, bpe.p8_ids, bpe.p8_token_counts)}
-SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        sample.p5_found, sample.p5_sample, sample.p5_report, unify.p7_found, unify.p7_forms, bpe.p8_ids, bpe.p8_token_counts,
+        mix.p9_found, mix.p9_mixture, mix.p9_report, pieces.p10_found, pieces.p10_pieces,
+    )
+}
+SQL = sample.SQL
