@@ -21,6 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TOKENIZER_DIR = "/opt/tokenizers"
 #: Fixed value: the published word pattern of this family of tokenizers.
@@ -152,7 +153,7 @@ def count_tokens(df: DataFrame, column: str = "text", tokenizer: str = "byte_bpe
     vocab = df.sparkSession.sparkContext.broadcast(vocabulary(tokenizer, folder))
     df = df.drop("n_tokens")
     rest = df.drop(column).schema
-    return df.mapInArrow(lambda it: _count(it, vocab.value, column), rest.add("n_tokens", "bigint"))
+    return df.mapInArrow(lambda it: _count(it, vocab.value, column), rest.add("n_tokens", T.LongType()))
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,11 @@
 """The queries of this subpackage and their SQL."""
 
-from corpuskit.llm import bpe, mix, pieces, sample, unify
+from corpuskit.llm import bpe, mix, pieces, privacy, sample, unify, votes
 
 QUERIES = {
     f.__name__: f
     for f in (
+        votes.p3_found, votes.p3_consensus, votes.p3_reliability, privacy.p6_found, privacy.p6_texts,
         sample.p5_found, sample.p5_sample, sample.p5_report, unify.p7_found, unify.p7_forms, bpe.p8_ids, bpe.p8_token_counts,
         mix.p9_found, mix.p9_mixture, mix.p9_report, pieces.p10_found, pieces.p10_pieces,
     )
