@@ -19,7 +19,7 @@ from corpuskit.functions.session import cut
 from corpuskit.llm.bpe import count_tokens
 
 PHI = 0.6180339887498949
-BLOCK = 8192
+BLOCK = 1024
 CHUNKS = 1024
 
 
