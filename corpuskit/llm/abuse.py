@@ -2,7 +2,8 @@
 
 Method: non-negative positive-unlabelled learning. A numpy logistic model over hashed one- to three-word groups is fitted
 to labelled toxic sentences and unlabelled ones with the class-prior-corrected risk, whose negative part is kept from
-going below zero; then each positive is narrowed to its strongest stretch of ``SPAN`` words and the model fitted again.
+going below zero; texts enter by the stretch of
+``SPAN`` words that differs most between the two sets, and by the word groups that tell them apart.
 A record's score is its strongest stretch, so a phrase in a long document counts as in a short post.
 
 The classifier is fitted on at most ``MOST_POSITIVE`` and ``MOST_UNLABELLED`` sentences chosen by hash; every record is
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 from corpuskit.llm.canon import spoken
 
 MOST_POSITIVE, MOST_UNLABELLED = 8_000, 24_000
-SPAN, BITS, PRIOR = 9, 19, 0.02
+SPAN, BITS = 9, 19
+#: Share of toxic records in all, and among those not labelled toxic.
+PRIOR, HIDDEN = 0.08, 0.01
 _SIZE = 1 << BITS
 
 
@@ -93,40 +96,58 @@ def fit(positive: list[str], unlabelled: list[str], epochs: int = 12) -> tuple[n
         return w, b
     P, U = [features(hashes(t)) for t in positive], [features(hashes(t)) for t in unlabelled]
     rng = np.random.default_rng(42)
-    for stage in range(2):
-        if stage:
-            old = w.copy()
-            P = [x[:, (i := strongest(x, old)[1]) : i + SPAN] for x in P]
-            U = [x[:, (i := strongest(x, old)[1]) : i + SPAN] for x in U]
-            w[:], b = 0, 0.0
-        g2 = np.full(_SIZE, 1e-6, np.float32)
-        n_p, n_u = len(P), len(U)
-        for _ in range(epochs):
-            op, ou = rng.permutation(n_p), rng.permutation(n_u)
-            for k in range(steps := max(1, n_u // 1000)):
-                bp, bu = op[k * n_p // steps : (k + 1) * n_p // steps], ou[k * n_u // steps : (k + 1) * n_u // steps]
-                if not len(bp) or not len(bu):
-                    continue
-                sets = [np.unique(P[i]) for i in bp] + [np.unique(U[i]) for i in bu]
-                idx = np.concatenate(sets)
-                row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-                z = np.bincount(row, w[idx] * (idx > 0), len(sets)) + b
-                p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                m = len(bp)
-                soft = np.logaddexp(0, z)
-                negative = soft[m:].mean() - PRIOR * soft[:m].mean()
-                g = np.empty(len(sets))
-                if negative >= 0:
-                    g[:m] = PRIOR * (p[:m] - 1 - p[:m]) / m
-                    g[m:] = p[m:] / (len(sets) - m)
-                else:
-                    g[:m] = PRIOR * p[:m] / m
-                    g[m:] = -p[m:] / (len(sets) - m)
-                g *= 10
-                grad = np.bincount(idx, g[row] * (idx > 0), _SIZE).astype(np.float32) + 2e-6 * w
-                g2 += grad * grad
-                w -= 0.25 * grad / np.sqrt(g2)
-                b -= 0.2 * float(g.sum())
+    def counts(fs: list[np.ndarray]) -> np.ndarray:
+        return np.bincount(np.concatenate([np.unique(x) for x in fs]), minlength=_SIZE)
+
+    def sure(cp: np.ndarray, cu: np.ndarray) -> np.ndarray:
+        """More often in positives than four times the chance and its spread."""
+        e = (cu + 0.1) * len(P) / n_all
+        return cp >= 4 * e + 4 * np.sqrt(e + 0.3) + 2
+
+    def lift(fs: list[np.ndarray], us: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        cp, cu = counts(fs), counts(us)
+        return cp, cu, (cp + 0.1) / len(fs) / ((cu + 0.5) / n_all)
+
+    n_all = len(U)
+    cp, cu, ratio = lift(P, U)
+    seed = np.where(sure(cp, cu), np.log(ratio), 0).astype(np.float32)
+    seed[0] = 0
+    P = [x[:, (i := strongest(x, seed)[1]) : i + SPAN] for x in P]
+    hot = [x[:, (r := strongest(x, seed))[1] : r[1] + SPAN] for x in U if strongest(x, seed)[0] > 0]
+    U = hot or U
+    cp, cu, ratio = lift(P, U)
+    mask = sure(cp, cu) | ((cu >= 3) & (ratio < 0.3))
+    mask[0] = False
+    scale = len(U) / n_all
+    g2 = np.full(_SIZE, 1e-6, np.float32)
+    n_p, n_u = len(P), len(U)
+    for _ in range(epochs):
+        op, ou = rng.permutation(n_p), rng.permutation(n_u)
+        for k in range(steps := max(1, n_u // 1000)):
+            bp, bu = op[k * n_p // steps : (k + 1) * n_p // steps], ou[k * n_u // steps : (k + 1) * n_u // steps]
+            if not len(bp) or not len(bu):
+                continue
+            sets = [np.unique(P[i]) for i in bp] + [np.unique(U[i]) for i in bu]
+            idx = np.concatenate(sets)
+            row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            z = np.bincount(row, w[idx] * (idx > 0), len(sets)) + b
+            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            m = len(bp)
+            soft = np.logaddexp(0, z)
+            negative = scale * soft[m:].mean() - HIDDEN * soft[:m].mean()
+            g = np.empty(len(sets))
+            if negative >= 0:
+                g[:m] = (PRIOR * (p[:m] - 1) - HIDDEN * p[:m]) / m
+                g[m:] = scale * p[m:] / (len(sets) - m)
+            else:
+                g[:m] = (PRIOR * (p[:m] - 1) + HIDDEN * p[:m]) / m
+                g[m:] = -scale * p[m:] / (len(sets) - m)
+            g *= 10
+            grad = np.bincount(idx, g[row] * (idx > 0), _SIZE).astype(np.float32) + 2e-5 * w
+            grad *= mask
+            g2 += grad * grad
+            w -= 0.25 * grad / np.sqrt(g2)
+            b -= 0.2 * float(g.sum())
     w[0] = 0
     return w, b
 
