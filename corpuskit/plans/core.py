@@ -82,7 +82,7 @@ def class_weights(s: SparkSession, d: str) -> DataFrame:
 
 def daily_exposure(s: SparkSession, d: str) -> DataFrame:
     """Events of each user and day, and whether the daily limit of 200 is reached."""
-    e = _t(s, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    e = _t(s, d, "events").groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
     return e.withColumn("blocked", F.col("n") >= 200)
 
 
@@ -99,5 +99,5 @@ SQL = {
     "span_invariant_errors": "SELECT sentence_id, p.start AS start, p.\"end\" AS \"end\" FROM (SELECT sentence_id, text, unnest(ner_spans) p FROM (SELECT DISTINCT sentence_id, text, ner_spans FROM annotated_sentences)) WHERE substring(text, p.start + 1, p.\"end\" - p.start) <> p.text",
     "langid_distribution": "SELECT t.label AS label, count(*) AS n FROM (SELECT unnest(token_language_labels) t FROM annotated_sentences) GROUP BY 1",
     "class_weights": "SELECT sentiment, round(sum(n) OVER () / (count(*) OVER () * n), 6)::DOUBLE AS weight FROM (SELECT sentiment, count(*) n FROM annotated_sentences WHERE sentiment IS NOT NULL GROUP BY 1)",
-    "daily_exposure": "SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, count(*) >= 200 AS blocked FROM events GROUP BY 1, 2",
+    "daily_exposure": "SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(*) >= 200 AS blocked FROM events GROUP BY 1, 2",
 }
