@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
+def first_per_key(df: DataFrame, key: str, order: str | list[str]) -> DataFrame:
     """The first row of each key by ``order``; rows whose key is null are dropped."""
     w = Window.partitionBy(key).orderBy(order)
     return df.where(F.col(key).isNotNull()).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
@@ -20,8 +24,15 @@ def platform_of(c: str = "platform") -> F.Column:
     return F.lower(F.trim(F.col(c)))
 
 
+@F.arrow_udf(StringType())
+def nfc(x: pa.Array) -> pa.Array:
+    return pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFC", t) for t in x.to_pylist()], pa.string())
+
+
 def dedup_split_counts(s: SparkSession, d: str) -> DataFrame:
-    a = _t(s, d, "annotated_sentences").select("sentence_id", "platform", "split").distinct()
+    """Records by platform and split; of the records of one NFC text, only the first by sentence_id counts."""
+    a = _t(s, d, "annotated_sentences").select("sentence_id", "platform", "split", nfc("text").alias("text"))
+    a = first_per_key(a, "text", ["sentence_id", "platform", "split"])
     return a.groupBy(platform_of().alias("platform"), "split").agg(F.count("*").alias("n"))
 
 
