@@ -42,8 +42,8 @@ def merge_first_by_id(s: SparkSession, d: str) -> DataFrame:
 
 
 def exact_dedup(s: SparkSession, d: str) -> DataFrame:
-    """The first sentence of each text."""
-    return first_per_key(_t(s, d, "raw_sentences").select("seq", "sentence_id", "text"), "text", "seq").select("seq", "sentence_id")
+    """The first sentence (by seq) of each NFC text."""
+    return first_per_key(_t(s, d, "raw_sentences").select("seq", "sentence_id", nfc("text").alias("text")), "text", "seq").select("seq", "sentence_id")
 
 
 def min_length_filter(s: SparkSession, d: str) -> DataFrame:
