@@ -91,6 +91,13 @@ def word_counts(annotated: DataFrame) -> tuple:
     return tuple((r.w, r.l, r.n) for r in t.where("n >= 2 and w rlike '^[^#@/0-9]+$'").orderBy(F.desc("n")).limit(MOST_WORDS).collect())
 
 
+def private_spans(text: str) -> list[tuple[int, int]]:
+    """The places in the given text of its e-mail addresses, street addresses and numbers."""
+    p, at = plain_map(text)
+    spans = [x.span() for pat in (EMAIL, ADDRESS, IDS, PHONE) for x in pat.finditer(p)] if regex.search(r"[@\d]|at[)\]]", p) else []
+    return spans if at is None else [(at[x], at[y - 1] + 1) for x, y in spans]
+
+
 def _tokens(it: Iterator[pa.RecordBatch], counts: tuple) -> Iterator[pa.RecordBatch]:
     m = _model(counts)
     for b in it:
@@ -98,12 +105,13 @@ def _tokens(it: Iterator[pa.RecordBatch], counts: tuple) -> Iterator[pa.RecordBa
         for key, text, labels in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
             if not text:
                 continue
-            p = plain_map(text)[0]
-            spans = [x.span() for pat in (EMAIL, ADDRESS, IDS, PHONE) for x in pat.finditer(p)] if regex.search(r"[@\d]|at[)\]]", p) else []
-            hidden = {w for x, y in spans for w in p[x:y].split()} if spans else ()
+            spans, end = private_spans(text), 0
             for k, tok in enumerate(text.split()):
+                if spans:
+                    start = text.index(tok, end)
+                    end = start + len(tok)
                 r = m[tok]
-                if r is None or (hidden and (plain(tok) in hidden or plain(tok).strip("(),.?!।") in hidden)):
+                if r is None or any(x < end and start < y for x, y in spans):
                     continue
                 out.append((key, k, r[0], r[1], labels[k] if labels and k < len(labels) else None))
         yield _batch(out)

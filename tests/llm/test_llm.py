@@ -1,5 +1,8 @@
+import pyarrow as pa
+
 from corpuskit.llm.bpe import encoder, merge_long, merge_short, vocabulary
 from corpuskit.llm.canon import plain, skeleton, spoken
+from corpuskit.llm.lang import _tokens
 from corpuskit.llm.overlap import coverage, fingerprints
 from corpuskit.llm.pieces import pieces
 from corpuskit.llm.privacy import finds, permute_digits
@@ -50,3 +53,11 @@ def test_overlap_parts():
     w = "a bb ccc dddd eeeee ffffff ggg hhh iii jjj".split()
     assert coverage(w, w[:-1]) >= 0.9 and coverage(w, "x y z".split()) == 0
     assert fingerprints(["a"]) == []
+
+
+def test_tokens_are_hidden_by_place():
+    texts = ["घर का पता वार्ड 8, घर 159, गली 3, Lunpura घर से बाहर", "\u200bmail a.b (at) c (dot) test and (c) test", "no span"]
+    rows = pa.RecordBatch.from_arrays([pa.array(["1", "2", "3"]), pa.array(texts), pa.array([None] * 3, pa.list_(pa.string()))], names=["k", "t", "l"])
+    got = [(r["record_id"], texts[int(r["record_id"]) - 1].split()[r["unit_no"]], r["unit_no"]) for b in _tokens(iter([rows]), ()) for r in b.to_pylist()]
+    assert [w for k, w, _ in got if k == "1"][:3] == ["घर", "का", "पता"] and ("1", "वार्ड", 3) not in got and ("1", "घर", 5) not in got
+    assert [n for k, _, n in got if k == "2"] == [0, 6, 7, 8] and [n for k, _, n in got if k == "3"] == [0, 1]
