@@ -2,8 +2,8 @@
 
 Emails, phone and identity numbers and addresses are found by format, names by the given names and surnames that the
 gold person spans of annotated_sentences use. Method of replacement: format-preserving Feistel pseudonyms; the digits of
-numbers are permuted under a key within their format, so that equal values stay equal in all documents and a typed
-placeholder ``<kind:value>`` keeps the rest readable; other kinds get ``<kind:tag>`` with a keyed tag.
+numbers are permuted under a key within their format (of phone numbers the last ten, without country or trunk code), so
+that equal values stay equal in all documents and a typed placeholder ``<kind:value>`` keeps the rest readable; other kinds get ``<kind:tag>`` with a keyed tag.
 
 Cases: null text gives null and no finding; empty text stays empty; overlapping finds keep the first kind of email,
 address, id_number, phone, name; places count in the unchanged text; an empty table gives an empty result.
@@ -103,7 +103,8 @@ def permute_digits(digits: str, key: bytes) -> str:
 def pseudonym(kind: str, value: str, key: bytes) -> str:
     if kind in ("phone", "id_number"):
         ds = "".join(str(int(c)) for c in value if c.isdigit())
-        it = iter(permute_digits(ds, key))
+        n = len(ds) - 10 if kind == "phone" and len(ds) > 10 else 0  # trunk or country code
+        it = iter(ds[:n] + permute_digits(ds[n:], key))
         return f"<{kind}:" + "".join(next(it) if c.isdigit() else c for c in value) + ">"
     plain = " ".join(value.lower().split())
     return f"<{kind}:" + hmac.new(key, f"{kind}|{plain}".encode(), hashlib.sha256).hexdigest()[:8] + ">"

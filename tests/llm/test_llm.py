@@ -5,7 +5,7 @@ from corpuskit.llm.canon import plain, skeleton, spoken
 from corpuskit.llm.lang import _tokens
 from corpuskit.llm.overlap import coverage, fingerprints
 from corpuskit.llm.pieces import pieces
-from corpuskit.llm.privacy import finds, permute_digits
+from corpuskit.llm.privacy import finds, permute_digits, pseudonym
 from corpuskit.llm.unify import odd_records, unify
 from corpuskit.llm.votes import agreement, consensus, reliability
 
@@ -64,6 +64,12 @@ def test_tokens_are_hidden_by_place():
     assert [n for k, _, n in got if k == "2"] == [0, 6, 7, 8] and [n for k, _, n in got if k == "3"] == [0, 1]
 
 
+def test_pseudonyms_of_one_phone_number_agree():
+    forms = ("57559 94302", "+91 57559 94302", "0091-57559-94302", "05755-994302", "(0575) 599 4302", "५७५५९ ९४३०२", "5755994302")
+    got = ["".join(str(int(c)) for c in pseudonym("phone", v, b"k") if c.isdigit()) for v in forms]
+    assert len({g[-10:] for g in got}) == 1 and got[0] != "5755994302" and [g[:-10] for g in got] == ["", "91", "0091", "0", "0", "", ""]
+
+
 def _vote_tables(spark, d):
     labels = {"i": ("positive", "positive"), "j": ("negative", "neutral"), "k": ("neutral", "neutral")}
     sent = [("b", i, a, ls[a - 1]) for i, ls in labels.items() for a in (1, 2)]
