@@ -20,6 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from corpuskit.llm.canon import plain, plain_map, spoken
 from corpuskit.llm.privacy import ADDRESS, EMAIL, IDS, PHONE
@@ -85,10 +86,17 @@ def _model(counts: tuple) -> Words:
     return Words(counts)
 
 
+@F.arrow_udf(StringType())
+def _spoken(x: pa.Array) -> pa.Array:
+    return pa.array([spoken(w) for w in x.to_pylist()], pa.string())
+
+
 def word_counts(annotated: DataFrame) -> tuple:
+    """(word, language, labels of it): counted as words are meant, so that all spellings of one count together."""
     t = annotated.select(F.explode("token_language_labels").alias("t")).where(F.col("t.label").isin(*LANGS))
-    t = t.groupBy(F.lower("t.token").alias("w"), F.col("t.label").alias("l")).agg(F.count("*").alias("n"))
-    return tuple((r.w, r.l, r.n) for r in t.where("n >= 2 and w rlike '^[^#@/0-9]+$'").orderBy(F.desc("n")).limit(MOST_WORDS).collect())
+    t = t.groupBy(F.lower("t.token").alias("w"), F.col("t.label").alias("l")).agg(F.count("*").alias("n")).where("w rlike '^[^#@/0-9]+$'")
+    t = t.groupBy(_spoken("w").alias("w"), "l").agg(F.sum("n").alias("n")).where("w <> ''")
+    return tuple((r.w, r.l, r.n) for r in t.orderBy(F.desc("n"), "w", "l").limit(MOST_WORDS).collect())
 
 
 def private_spans(text: str) -> list[tuple[int, int]]:

@@ -2,7 +2,7 @@ import pyarrow as pa
 
 from corpuskit.llm.bpe import encoder, merge_long, merge_short, vocabulary
 from corpuskit.llm.canon import plain, skeleton, spoken
-from corpuskit.llm.lang import _tokens
+from corpuskit.llm.lang import _tokens, word_counts
 from corpuskit.llm.overlap import coverage, fingerprints
 from corpuskit.llm.pieces import pieces
 from corpuskit.llm.privacy import finds, permute_digits, pseudonym
@@ -70,6 +70,12 @@ def test_pseudonyms_of_one_phone_number_agree():
     assert len({g[-10:] for g in got}) == 1 and got[0] != "5755994302" and [g[:-10] for g in got] == ["", "91", "0091", "0", "0", "", ""]
 
 
+def test_spellings_of_a_word_count_together(spark):
+    tokens = [("Wee,", "ENG"), ("we.", "ENG"), ("खेत", "RAJ"), ("खेत।", "HIN"), ("#tag", "ENG"), (None, "ENG"), ("x", None)]
+    df = spark.createDataFrame([(tokens,)], "token_language_labels array<struct<token string, label string>>")
+    assert sorted(word_counts(df)) == [("we", "ENG", 2), ("खेत", "HIN", 1), ("खेत", "RAJ", 1)]
+
+
 def _vote_tables(spark, d):
     labels = {"i": ("positive", "positive"), "j": ("negative", "neutral"), "k": ("neutral", "neutral")}
     sent = [("b", i, a, ls[a - 1]) for i, ls in labels.items() for a in (1, 2)]
