@@ -3,7 +3,7 @@
 Method: winnowing fingerprints. Rolling hashes of three words are winnowed over windows of two; each distinct wording
 selects its rarest fingerprints, in one order for all records, long enough that two wordings which share at least
 ``SHARED`` of the shorter one's fingerprints must have one in common (prefix filter); these are joined across splits,
-seeds are chained collinearly and extended by alignment, and coverage decides. Exact copies meet as one wording.
+candidates are aligned word by word, without chaining of seeds, and coverage decides. Exact copies meet as one wording.
 
 Cases: null texts and texts without words match nothing; wordings under three words match only as exact copies;
 repeated rows count once; an empty table gives no pairs. A record in several splits is on each side it is in.
@@ -74,6 +74,23 @@ def _verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from part.to_batches()
 
 
+def candidates(fp: DataFrame) -> DataFrame:
+    """(w_train, w_eval) of all wordings that share at least ``SHARED`` of the shorter one's fingerprints, if neither has
+    over twice the other's; ``fp`` has w, sides, n, fp."""
+
+    def prefix(n, shorter):
+        return n - F.ceil(shorter * SHARED - 1e-9) + 1
+
+    df = fp.groupBy("fp").agg(F.count("*").alias("df"), F.bit_or("sides").alias("both"))
+    ranked = fp.join(df, "fp").withColumn("r", F.row_number().over(Window.partitionBy("w").orderBy("df", "fp")))
+    ranked = ranked.where((F.col("r") <= prefix(F.col("n"), F.ceil(F.col("n") / 2))) & (F.col("both") == 3)).select("w", "sides", "n", "fp", "r")
+    a = ranked.where("sides in (1, 3)").select("fp", F.col("w").alias("w_train"), F.col("n").alias("na"), F.col("r").alias("ra"))
+    b = ranked.where("sides in (2, 3)").select("fp", F.col("w").alias("w_eval"), F.col("n").alias("nb"), F.col("r").alias("rb"))
+    pairs = a.join(b, "fp").where("w_train <> w_eval and least(na, nb) >= 0.5 * greatest(na, nb)")
+    shorter = F.least("na", "nb")
+    return pairs.where((F.col("ra") <= prefix(F.col("na"), shorter)) & (F.col("rb") <= prefix(F.col("nb"), shorter))).select("w_train", "w_eval").distinct()
+
+
 def cross_split_pairs(rows: DataFrame) -> DataFrame:
     """(id_train, id_eval) of the same post; ``rows`` has sentence_id, text, split."""
     r = rows.where("text is not null and split in ('train', 'validation', 'test')")
@@ -82,12 +99,7 @@ def cross_split_pairs(rows: DataFrame) -> DataFrame:
     members = m.select("id", "side", "w").distinct()
     words = m.groupBy("w").agg(F.first("wording").alias("wording"), F.bit_or("side").alias("sides"))
     fp = cut(words.mapInArrow(_prints, "w bigint, sides int, fps array<bigint>").select("w", "sides", F.size("fps").alias("n"), F.explode("fps").alias("fp")))
-    df = fp.groupBy("fp").agg(F.count("*").alias("df"), F.bit_or("sides").alias("both"))
-    ranked = fp.join(df, "fp").withColumn("r", F.row_number().over(Window.partitionBy("w").orderBy("df", "fp")))
-    ranked = ranked.where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * SHARED) + 1) & (F.col("both") == 3)).select("w", "sides", "n", "fp")
-    a = ranked.where("sides in (1, 3)").select("fp", F.col("w").alias("w_train"), F.col("n").alias("na"))
-    b = ranked.where("sides in (2, 3)").select("fp", F.col("w").alias("w_eval"), F.col("n").alias("nb"))
-    near = a.join(b, "fp").where("w_train <> w_eval and least(na, nb) >= 0.5 * greatest(na, nb)").select("w_train", "w_eval").distinct()
+    near = candidates(fp)
     text = words.select("w", "wording")
     near = near.join(text.select(F.col("w").alias("w_train"), F.col("wording").alias("x")), "w_train").join(text.select(F.col("w").alias("w_eval"), F.col("wording").alias("y")), "w_eval")
     near = near.select("w_train", "w_eval", "x", "y").mapInArrow(_verify, "w_train bigint, w_eval bigint")
