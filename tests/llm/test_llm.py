@@ -3,7 +3,6 @@ import pyarrow as pa
 from corpuskit.llm.bpe import encoder, merge_long, merge_short, vocabulary
 from corpuskit.llm.canon import plain, skeleton, spoken
 from corpuskit.llm.lang import _tokens, word_counts
-from corpuskit.llm.overlap import candidates, coverage, fingerprints
 from corpuskit.llm.pieces import pieces
 from corpuskit.llm.privacy import finds, permute_digits, pseudonym
 from corpuskit.llm.unify import odd_records, unify
@@ -50,12 +49,6 @@ def test_private_finds():
     assert len(a) == 1000
 
 
-def test_overlap_parts():
-    w = "a bb ccc dddd eeeee ffffff ggg hhh iii jjj".split()
-    assert coverage(w, w[:-1]) >= 0.9 and coverage(w, "x y z".split()) == 0
-    assert fingerprints(["a"]) == []
-
-
 def test_tokens_are_hidden_by_place():
     texts = ["घर का पता वार्ड 8, घर 159, गली 3, Lunpura घर से बाहर", "\u200bmail a.b (at) c (dot) test and (c) test", "no span"]
     rows = pa.RecordBatch.from_arrays([pa.array(["1", "2", "3"]), pa.array(texts), pa.array([None] * 3, pa.list_(pa.string()))], names=["k", "t", "l"])
@@ -76,11 +69,6 @@ def test_spellings_of_a_word_count_together(spark):
     assert sorted(word_counts(df)) == [("we", "ENG", 2), ("खेत", "HIN", 1), ("खेत", "RAJ", 1)]
 
 
-def test_candidates_share_enough_of_the_shorter_wording(spark):
-    rows = [(1, 1, 20, f) for f in range(1, 21)] + [(2, 2, 10, f) for f in (17, 18, 19, 20, *range(101, 107))] + [(3, 2, 10, f) for f in range(201, 211)]
-    assert [tuple(r) for r in candidates(spark.createDataFrame(rows, "w long, sides int, n int, fp long")).collect()] == [(1, 2)]
-
-
 def _vote_tables(spark, d):
     labels = {"i": ("positive", "positive"), "j": ("negative", "neutral"), "k": ("neutral", "neutral")}
     sent = [("b", i, a, ls[a - 1]) for i, ls in labels.items() for a in (1, 2)]
