@@ -1,0 +1 @@
+"""operators of the core, see the modules."""

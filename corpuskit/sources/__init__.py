@@ -1,0 +1 @@
+"""sources of the core, see the modules."""

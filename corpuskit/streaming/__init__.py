@@ -1,0 +1 @@
+"""streaming of the core, see the modules."""
