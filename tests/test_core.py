@@ -1,4 +1,5 @@
-from corpuskit.plans.core import dedup_split_counts, exact_dedup, first_per_key
+from corpuskit.operators.ranks import first_per_key
+from corpuskit.plans.core import dedup_split_counts, exact_dedup
 
 
 def test_first_per_key(spark):
