@@ -6,7 +6,6 @@ from corpuskit.llm.lang import _tokens, word_counts
 from corpuskit.llm.pieces import pieces
 from corpuskit.llm.privacy import finds, permute_digits, pseudonym
 from corpuskit.llm.unify import odd_records, unify
-from corpuskit.llm.votes import agreement, consensus, reliability
 
 
 def test_plain_and_skeleton():
@@ -67,29 +66,3 @@ def test_spellings_of_a_word_count_together(spark):
     tokens = [("Wee,", "ENG"), ("we.", "ENG"), ("खेत", "RAJ"), ("खेत।", "HIN"), ("#tag", "ENG"), (None, "ENG"), ("x", None)]
     df = spark.createDataFrame([(tokens,)], "token_language_labels array<struct<token string, label string>>")
     assert sorted(word_counts(df)) == [("we", "ENG", 2), ("खेत", "HIN", 1), ("खेत", "RAJ", 1)]
-
-
-def _vote_tables(spark, d):
-    labels = {"i": ("positive", "positive"), "j": ("negative", "neutral"), "k": ("neutral", "neutral")}
-    sent = [("b", i, a, ls[a - 1]) for i, ls in labels.items() for a in (1, 2)]
-    spark.createDataFrame(sent, "batch_id string, item_id string, annotator int, label string").write.parquet(f"{d}/sentiment_votes.parquet")
-    tox = [("b", i, a, ["general"] if (i, a) == ("i", 1) else []) for i in labels for a in (1, 2)]
-    spark.createDataFrame(tox, "batch_id string, item_id string, annotator int, labels array<string>").write.parquet(f"{d}/tox_votes.parquet")
-    spans = [("b", "i", 1, 0, 3, "PER"), ("b", "i", 2, 0, 3, "PER")]
-    spark.createDataFrame(spans, "batch_id string, item_id string, annotator int, start int, end int, entity_type string").write.parquet(f"{d}/span_votes.parquet")
-    gold = [("i", "positive", [], [(0, 3, "PER", "abc"), (5, 8, "LOC", "def")]), ("j", "negative", [], [(1, 2, "ORG", "x")]), ("unjudged", "neutral", [], [(1, 2, "ORG", "x")])]
-    spark.createDataFrame(gold, "sentence_id string, sentiment string, toxicity_labels array<string>, ner_spans array<struct<start int, end int, entity_type string, text string>>").write.parquet(f"{d}/adjudicated_items.parquet")
-
-
-def test_adjudicated_spans_nobody_marked_count(spark, tmp_path):
-    _vote_tables(spark, tmp_path)
-    con = consensus(spark, str(tmp_path))[0].where("task = 'ner'")
-    assert sorted(tuple(r) for r in con.collect()) == [("ner", "i", "0|3|PER", "yes", 1.0), ("ner", "i", "5|8|LOC", "yes", 1.0), ("ner", "j", "1|2|ORG", "yes", 1.0)]
-    rel = reliability(spark, str(tmp_path)).where("task = 'ner'")
-    assert sorted(tuple(r) for r in rel.collect()) == [(1, "ner", 3, 1), (2, "ner", 3, 1)]
-
-
-def test_agreement_is_cohens_kappa(spark, tmp_path):
-    _vote_tables(spark, tmp_path)
-    got = {r.task: (round(r.kappa, 6), r.pairs, r.votes) for r in agreement(spark, str(tmp_path)).collect()}
-    assert got == {"sentiment": (0.5, 1, 3), "toxicity": (0.75, 4, 12), "ner": (1.0, 1, 1)}
