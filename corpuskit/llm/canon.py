@@ -35,6 +35,7 @@ _LOOK = str.maketrans(LOOKALIKES)
 _GONE = set(INVISIBLE)
 _SUSPECT = regex.compile("[" + SPACES + INVISIBLE + "\u200d\ufe00-\ufe0f\uff01-\uff5e\u0958-\u095f" + "".join(LOOKALIKES) + "]|[अआएउ]\\p{M}")
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}")
 _KEEP = regex.compile(r"[\p{So}\p{Sk}\ufe0f\U0001f3fb-\U0001f3ff]")
 _LATIN = regex.compile(r"^[\p{Latin}\p{M}" + "".join(LOOKALIKES) + "]+$")
 _FOREIGN = regex.compile("[" + "".join(LOOKALIKES) + "]")
@@ -101,9 +102,9 @@ _INNER = regex.compile(r"(?<=[\p{L}\p{M}\p{N}$])[._*\-~·•]+(?=[\p{L}\p{M}\p{N
 
 
 @lru_cache(maxsize=400_000)
-def spoken(token: str) -> str:
+def spelt(token: str) -> str:
     """A white-space token as it is meant: plain, lower case, signs inside it removed, digits for letters read as
-    letters, repeated letters written once. Empty for links, tags, handles and what has no letters."""
+    letters. Empty for links, tags, handles and what has no letters."""
     t = plain(token)
     if t[:1] in "#@" or "://" in t:
         return ""
@@ -112,6 +113,12 @@ def spoken(token: str) -> str:
     if _LEETY.match(u):
         u = u.translate(LEET)
     u = u.lower()
-    if not _WORD.search(u) or regex.search(r"\d", u):
+    if not _LETTER.search(u) or regex.search(r"\d", u):
         return ""
-    return _RUN.sub(r"\1", "".join(_WORD.findall(u)))
+    return "".join(_WORD.findall(u))
+
+
+@lru_cache(maxsize=400_000)
+def spoken(token: str) -> str:
+    """``spelt``, with repeated letters written once."""
+    return _RUN.sub(r"\1", spelt(token))

@@ -26,14 +26,20 @@ from corpuskit.llm.canon import plain_map
 
 MOST_NAMES = 50_000
 _D = r"[0-9०-९]"
-EMAIL = regex.compile(r"(?<![\w.+-])[A-Za-z0-9][\w.+-]*(?: ?@ ?| ?[(\[]at[)\]] ?)[A-Za-z0-9-]+(?:(?:\.| ?[(\[]dot[)\]] ?)[A-Za-z0-9-]+)+", regex.I)
+EMAIL = regex.compile(r"(?<![\w.+-])[A-Za-z0-9][\w.+-]*(?:(?: ?@ ?| ?[(\[]at[)\]] ?)[A-Za-z0-9-]+(?:(?:\.| ?[(\[]dot[)\]] ?)[A-Za-z0-9-]+)+| at [A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)+)", regex.I)
 _HOUSE = r"(?:ward(?: no\.?)?|वार्ड(?: नं\.?)?|plot(?: no\.?)?|प्लॉट|flat(?: no\.?)?|फ्लैट|h\.? ?no\.?|house no\.?|मकान नं\.?|घर नं\.?)"
 _LOCAL = r"(?:sector|सेक्टर|गली|gali|lane|मोहल्ला|mohalla|vihar|विहार|heights|colony|कॉलोनी|nagar|नगर|road|marg|मार्ग|घर|house)"
-ADDRESS = regex.compile(rf"(?<![\w\p{{M}}#])(?:{_HOUSE} ?{_D}{{1,5}}(?:/[A-Za-z])?,? (?=[^\n]{{0,40}}?{_LOCAL})|{_D}{{1,4}},? (?=(?:[\p{{L}}\p{{M}}]+ ){{1,2}}{_LOCAL}\b))[^,\n।!?;]{{1,40}}(?:, ?[^,\n।!?;.]{{2,40}}?(?=[,\n।!?;.)]|$| ?-? ?\d{{6}}|\s\S)){{1,2}}(?: ?-? ?\d{{6}})?", regex.I)
+#: A part of an address: it names a locality, a house or what it is near.
+_PART = rf"[^,\n।!?;()]{{0,40}}?(?<![\p{{L}}\p{{M}}])(?:{_LOCAL}|के पास|ke paas|near [\p{{L}}\p{{M}}]+)(?![\p{{L}}\p{{M}}])[^,\n।!?;.()]{{0,20}}?"
+_BEGIN = rf"(?:{_HOUSE} ?{_D}{{1,5}}(?:/[A-Za-z])?,? (?=[^\n]{{0,40}}?{_LOCAL})|{_D}{{1,4}},? (?=(?:[\p{{L}}\p{{M}}]+ ){{1,2}}{_LOCAL}\b))"
+_PIN = r"(?: ?-? ?\d{6})?"
+#: Parts up to a town of one word; what does not fit ends at the second comma or sign.
+ADDRESS = regex.compile(rf"(?<![\w\p{{M}}#]){_BEGIN}(?:{_PART}(?:, ?{_PART})*, ?[\p{{L}}\p{{M}}]+(?![\p{{L}}\p{{M}}]){_PIN}|[^,\n।!?;]{{1,40}}(?:, ?[^,\n।!?;.]{{2,40}}?(?=[,\n।!?;.)]|$| ?-? ?\d{{6}}|\s\S)){{1,2}}{_PIN})", regex.I)
 IDS = regex.compile(rf"(?<![\w-])(?:[A-Za-z]{{5}}{_D}{{4}}[A-Za-z]|[A-Za-z]{{3}}/?{_D}{{7}}|RX{_D}{{2}}[ -]?{_D}{{11}}|(?P<twelve>{_D}{{4}}(?P<s>[ -]?){_D}{{4}}(?P=s){_D}{{4}}))(?![\w])", regex.I)
 PHONE = regex.compile(rf"(?<![\w₹.,/#+-])(?:(?:\+|[0०]{{2}})[9९][1१][ -]?{_D}{{5}}[ -]?{_D}{{5}}|\({_D}{{4}}\) {_D}{{3}} {_D}{{4}}|[0०]{_D}{{4}}-{_D}{{6}}|{_D}{{5}}[ -]{_D}{{5}}|{_D}{{3}}\.{_D}{{3}}\.{_D}{{4}}|{_D}{{10}})(?!{_D}|\w|[-/]\d)")
 #: Words before numbers that are no personal data.
 TRADE = regex.compile(r"(?:पार्सल|parcel|order|ऑर्डर|बिल|bill|invoice|trk)[\s:#(]*(?:no\.?|नं\.?)?[\s:#(]*$", regex.I)
+MAILED = regex.compile(r"@|at[)\]]| at .* dot ", regex.I)
 TITLES = {"श्री", "श्रीमती", "डॉ", "shri", "smt", "dr", "mr", "mrs", "ms"}
 _WORDS = regex.compile(r"[\p{L}\p{M}]+")
 
@@ -50,7 +56,7 @@ def finds(text: str, given: frozenset, surnames: frozenset) -> list[tuple[str, i
             out.append((kind, a, b))
 
     digits = any("0" <= c <= "9" or "०" <= c <= "९" for c in t)
-    if "@" in t or "at)" in t.lower() or "at]" in t.lower():
+    if MAILED.search(t):
         for m in EMAIL.finditer(t):
             add("email", *m.span())
     if digits:

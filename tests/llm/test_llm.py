@@ -1,8 +1,5 @@
-import pyarrow as pa
-
 from corpuskit.llm.bpe import encoder, merge_long, merge_short, vocabulary
 from corpuskit.llm.canon import plain, skeleton, spoken
-from corpuskit.llm.lang import _tokens, word_counts
 from corpuskit.llm.pieces import pieces
 from corpuskit.llm.privacy import finds, permute_digits, pseudonym
 from corpuskit.llm.unify import odd_records, unify
@@ -48,21 +45,7 @@ def test_private_finds():
     assert len(a) == 1000
 
 
-def test_tokens_are_hidden_by_place():
-    texts = ["घर का पता वार्ड 8, घर 159, गली 3, Lunpura घर से बाहर", "\u200bmail a.b (at) c (dot) test and (c) test", "no span"]
-    rows = pa.RecordBatch.from_arrays([pa.array(["1", "2", "3"]), pa.array(texts), pa.array([None] * 3, pa.list_(pa.string()))], names=["k", "t", "l"])
-    got = [(r["record_id"], texts[int(r["record_id"]) - 1].split()[r["unit_no"]], r["unit_no"]) for b in _tokens(iter([rows]), ()) for r in b.to_pylist()]
-    assert [w for k, w, _ in got if k == "1"][:3] == ["घर", "का", "पता"] and ("1", "वार्ड", 3) not in got and ("1", "घर", 5) not in got
-    assert [n for k, _, n in got if k == "2"] == [0, 6, 7, 8] and [n for k, _, n in got if k == "3"] == [0, 1]
-
-
 def test_pseudonyms_of_one_phone_number_agree():
     forms = ("57559 94302", "+91 57559 94302", "0091-57559-94302", "05755-994302", "(0575) 599 4302", "५७५५९ ९४३०२", "5755994302")
     got = ["".join(str(int(c)) for c in pseudonym("phone", v, b"k") if c.isdigit()) for v in forms]
     assert len({g[-10:] for g in got}) == 1 and got[0] != "5755994302" and [g[:-10] for g in got] == ["", "91", "0091", "0", "0", "", ""]
-
-
-def test_spellings_of_a_word_count_together(spark):
-    tokens = [("Wee,", "ENG"), ("we.", "ENG"), ("खेत", "RAJ"), ("खेत।", "HIN"), ("#tag", "ENG"), (None, "ENG"), ("x", None)]
-    df = spark.createDataFrame([(tokens,)], "token_language_labels array<struct<token string, label string>>")
-    assert sorted(word_counts(df)) == [("we", "ENG", 2), ("खेत", "HIN", 1), ("खेत", "RAJ", 1)]
