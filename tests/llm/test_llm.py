@@ -1,7 +1,6 @@
 from corpuskit.llm.bpe import encoder, merge_long, merge_short, vocabulary
 from corpuskit.llm.canon import plain, skeleton, spoken
 from corpuskit.llm.pieces import pieces
-from corpuskit.llm.privacy import finds, permute_digits, pseudonym
 from corpuskit.llm.unify import odd_records, unify
 
 
@@ -36,16 +35,3 @@ def test_pieces_cover_the_text():
         assert got[0][0] == 0 and got[-1][1] == len(text)
         assert all(n <= 100 for *_, n in got) and all(b[0] <= a[1] for a, b in zip(got, got[1:]))
     assert pieces("", e, 100, 10) == []
-
-
-def test_private_finds():
-    t = "call +91 57559 94302, mail a.b (at) c (dot) test; parcel 9178918279 Plot 5, Sector 2, Lunpura-012345"
-    assert [k for k, *_ in finds(t, frozenset(), frozenset())] == ["phone", "email", "address"]
-    a = {permute_digits(f"{i:03d}", b"k") for i in range(1000)}
-    assert len(a) == 1000
-
-
-def test_pseudonyms_of_one_phone_number_agree():
-    forms = ("57559 94302", "+91 57559 94302", "0091-57559-94302", "05755-994302", "(0575) 599 4302", "५७५५९ ९४३०२", "5755994302")
-    got = ["".join(str(int(c)) for c in pseudonym("phone", v, b"k") if c.isdigit()) for v in forms]
-    assert len({g[-10:] for g in got}) == 1 and got[0] != "5755994302" and [g[:-10] for g in got] == ["", "91", "0091", "0", "0", "", ""]
