@@ -1,14 +1,15 @@
 """Problem 2: score every record for abusive, hateful or sexually explicit language.
 
 Method: non-negative positive-unlabelled learning. A numpy logistic model over hashed one- to three-word groups is fitted
-to labelled toxic sentences and unlabelled ones with the class-prior-corrected risk, whose negative part is kept from
-going below zero; texts enter by the stretch of
-``SPAN`` words that differs most between the two sets, and by the word groups that tell them apart.
-A record's score is its strongest stretch, so a phrase in a long document counts as in a short post.
+to labelled toxic sentences and unlabelled ones with the class-prior-corrected risk (see ``fit``), whose negative part is
+kept from going below zero; class prior and hidden positives are estimated from the data, the bias is the log odds of
+the prior. Texts enter by the stretch of ``SPAN`` words that differs most between the two sets, and by the word groups
+that tell them apart. A record's score is its strongest stretch, so a phrase in a long document counts as in a short post.
 
 The classifier is fitted on at most ``MOST_POSITIVE`` and ``MOST_UNLABELLED`` sentences chosen by hash; every record is
-scored whole. Cases: null and empty texts score the bias and are not found; spaced, dotted, repeated and digit-for-letter
-spellings are folded first; repeated rows give one finding; without positives every score is zero.
+scored whole. Cases: null and empty texts score the bias, lowered to that of a rare class, and are not found; spaced,
+dotted, repeated and digit-for-letter spellings are folded first; repeated rows give one finding; without positives every
+score is zero; null labels are no labels.
 """
 
 from __future__ import annotations
@@ -24,10 +25,6 @@ from corpuskit.llm.canon import spoken
 
 MOST_POSITIVE, MOST_UNLABELLED = 8_000, 24_000
 SPAN, BITS = 9, 19
-#: Log odds of a stretch without any telling word group; fixed, since mislabelled positives would draw it up.
-BIAS = -2.0
-#: Share of toxic records in all, and among those not labelled toxic.
-PRIOR, HIDDEN = 0.08, 0.01
 _SIZE = 1 << BITS
 
 
@@ -91,12 +88,32 @@ def strongest(f: np.ndarray, w: np.ndarray) -> tuple[float, int]:
     return float(win[i]), i
 
 
-def fit(positive: list[str], unlabelled: list[str], epochs: int = 12) -> tuple[np.ndarray, float]:
-    """Weights and bias by the non-negative risk pi*R_p(+) + max(0, R_u(-) - pi*R_p(-))."""
-    w, b = np.zeros(_SIZE, np.float32), BIAS
+def fit(positive: list[str], unlabelled: list[str], labelled_share: float | None = None, rounds: int = 2, epochs: int = 12) -> tuple[np.ndarray, float, float, float]:
+    """Weights, bias, class prior and hidden share.
+
+    The risk is pi R_p(+) + max(0, R_u(-) - h R_p(-)): pi the share of positives in all, h their share among the rows not
+    labelled so. Both are estimated: the first fit takes labels at their word (pi the labelled share, h 0); then h is the
+    share of unlabelled rows the fit finds, pi the labelled share without the labelled rows that it finds nothing in,
+    plus h; and the fit is done again. A stretch without any telling group says nothing, so its score is pi: the bias is
+    the log odds of pi.
+    """
     if not positive or not unlabelled:
-        return w, b
+        return np.zeros(_SIZE, np.float32), -20.0, 0.0, 0.0
     P, U = [features(hashes(t)) for t in positive], [features(hashes(t)) for t in unlabelled]
+    share = labelled_share if labelled_share is not None else len(P) / (len(P) + len(U))
+    prior, hidden = share, 0.0
+    for k in range(rounds):
+        bias = float(np.log(prior / (1 - prior)))
+        w = _fit(P, U, bias, prior, hidden, epochs)
+        if k + 1 < rounds:
+            hidden = float(np.mean([strongest(x, w)[0] + bias > 0 for x in U]))
+            sure = float(np.mean([strongest(x, w)[0] + bias > 0 for x in P]))
+            prior = min(0.5, max(1e-4, share * sure + (1 - share) * hidden))
+    return w, bias, prior, hidden
+
+
+def _fit(P: list[np.ndarray], U: list[np.ndarray], b: float, prior: float, hidden: float, epochs: int) -> np.ndarray:
+    w = np.zeros(_SIZE, np.float32)
     rng = np.random.default_rng(42)
     def counts(fs: list[np.ndarray]) -> np.ndarray:
         return np.bincount(np.concatenate([np.unique(x) for x in fs]), minlength=_SIZE)
@@ -136,13 +153,13 @@ def fit(positive: list[str], unlabelled: list[str], epochs: int = 12) -> tuple[n
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             m = len(bp)
             soft = np.logaddexp(0, z)
-            negative = scale * soft[m:].mean() - HIDDEN * soft[:m].mean()
+            negative = scale * soft[m:].mean() - hidden * soft[:m].mean()
             g = np.empty(len(sets))
             if negative >= 0:
-                g[:m] = (PRIOR * (p[:m] - 1) - HIDDEN * p[:m]) / m
+                g[:m] = (prior * (p[:m] - 1) - hidden * p[:m]) / m
                 g[m:] = scale * p[m:] / (len(sets) - m)
             else:
-                g[:m] = (PRIOR * (p[:m] - 1) + HIDDEN * p[:m]) / m
+                g[:m] = (prior * (p[:m] - 1) + hidden * p[:m]) / m
                 g[m:] = -scale * p[m:] / (len(sets) - m)
             g *= 10
             grad = np.bincount(idx, g[row] * (idx > 0), _SIZE).astype(np.float32) + 2e-5 * w
@@ -150,13 +167,20 @@ def fit(positive: list[str], unlabelled: list[str], epochs: int = 12) -> tuple[n
             g2 += grad * grad
             w -= 0.25 * grad / np.sqrt(g2)
     w[0] = 0
-    return w, b
+    return w
+
+
+def training(annotated: DataFrame) -> tuple[list[str], list[str], float]:
+    """Rows to fit on, and the share of labelled rows in all. A row's hash places it; only hashes below the bound that
+    lets about as many rows through as are wanted reach the sort, so that no task sends more than its part."""
+    a = annotated.where("text is not null").select("text", (F.coalesce(F.size("toxicity_labels"), F.lit(0)) > 0).alias("toxic"), F.xxhash64("sentence_id").alias("h"))
+    n = a.agg(F.count_if("toxic").alias("p"), F.count_if(~F.col("toxic")).alias("u")).first()
 
+    def chosen(rows: DataFrame, there: int, most: int) -> list[str]:
+        part = min(1.0, (most + 5 * most**0.5) / max(there, 1))
+        return [r.text for r in rows.where(F.col("h") <= int(-(2**63) + part * (2**64 - 1025))).orderBy("h", "text").limit(most).collect()]
 
-def training(annotated: DataFrame) -> tuple[list[str], list[str]]:
-    a = annotated.where("text is not null").select("text", (F.size("toxicity_labels") > 0).alias("toxic"), F.xxhash64("sentence_id").alias("h"))
-    pos = [r.text for r in a.where("toxic").orderBy("h").limit(MOST_POSITIVE).collect()]
-    return pos, [r.text for r in a.where("not coalesce(toxic, false)").orderBy("h").limit(MOST_UNLABELLED).collect()]
+    return chosen(a.where("toxic"), n.p, MOST_POSITIVE), chosen(a.where(~F.col("toxic")), n.u, MOST_UNLABELLED), n.p / max(1, n.p + n.u)
 
 
 def _score(it: Iterator[pa.RecordBatch], w: np.ndarray, b: float) -> Iterator[pa.RecordBatch]:
@@ -170,7 +194,7 @@ def _score(it: Iterator[pa.RecordBatch], w: np.ndarray, b: float) -> Iterator[pa
 def scores(s: SparkSession, d: str) -> DataFrame:
     """(record_id, source, score) of every record of both tables."""
     a, docs = s.read.parquet(f"{d}/annotated_sentences.parquet"), s.read.parquet(f"{d}/documents.parquet")
-    w, b = fit(*training(a))
+    w, b, _, _ = fit(*training(a))
     model = s.sparkContext.broadcast((w, b))
     rec = a.select(F.col("sentence_id").alias("record_id"), F.lower(F.trim("platform")).alias("source"), "text")
     rec = rec.unionByName(docs.select(F.col("doc_id").cast("string").alias("record_id"), "source", "text"))
