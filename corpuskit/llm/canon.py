@@ -22,23 +22,37 @@ LOOKALIKES = {
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "Ԛ": "Q", "Ԝ": "W",
 }
 
+# Of these the likeness is loose, so that a word of one script with one of them is not Latin in disguise.
+LOOSE = "вкмнт"
+
+# Ligatures of Latin letters.
+LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+
 # A vowel letter and sign that together look like another vowel letter (Devanagari).
 VOWELS = {"अा": "आ", "अॅ": "ॲ", "अॉ": "ऑ", "अो": "ओ", "अौ": "औ", "आे": "ओ", "आै": "औ", "एे": "ऐ", "एॅ": "ऍ", "उु": "ऊ"}
 
 # Spaces that look like U+0020, and characters without a shape of their own.
 SPACES = "\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
-INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b\u200c\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\u206a\u206b\u206c\u206d\u206e\u206f\u3164\ufeff\uffa0"
+INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b\u200c\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\u206a\u206b\u206c\u206d\u206e\u206f\u3164\ufeff\uffa0\ufdd0\ufdd1"
 
 _WIDE = {i: i - 0xFEE0 for i in range(0xFF01, 0xFF5F)}
 _ONE = _WIDE | dict.fromkeys(map(ord, SPACES), 0x20)
 _LOOK = str.maketrans(LOOKALIKES)
 _GONE = set(INVISIBLE)
-_SUSPECT = regex.compile("[" + SPACES + INVISIBLE + "\u200d\ufe00-\ufe0f\uff01-\uff5e\u0958-\u095f" + "".join(LOOKALIKES) + "]|[अआएउ]\\p{M}")
+_SUSPECT = regex.compile("[" + "".join(LIGATURES) + SPACES + INVISIBLE + "\u200d\ufe00-\ufe0f\uff01-\uff5e\u0958-\u095f" + "".join(LOOKALIKES) + "]|[अआएउ]\\p{M}")
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
 _LETTER = regex.compile(r"\p{L}")
 _KEEP = regex.compile(r"[\p{So}\p{Sk}\ufe0f\U0001f3fb-\U0001f3ff]")
 _LATIN = regex.compile(r"^[\p{Latin}\p{M}" + "".join(LOOKALIKES) + "]+$")
 _FOREIGN = regex.compile("[" + "".join(LOOKALIKES) + "]")
+_OWN = regex.compile(r"\p{Latin}")
+_ELSE = regex.compile(r"[\p{Cyrillic}\p{Greek}--[" + "".join(LOOKALIKES) + "]]", regex.V1)
+
+
+def disguised(word: str, text: str) -> bool:
+    """Whether a word with look-alikes is a Latin one: all its letters are Latin or look-alikes, and it has a Latin one;
+    or else only close look-alikes, in a text without any other letter of their scripts."""
+    return bool(_LATIN.match(word)) and bool(_OWN.search(word) or not any(c in LOOSE for c in word) and not _ELSE.search(text))
 
 
 def plain_map(text: str) -> tuple[str, list[int] | None]:
@@ -55,11 +69,12 @@ def plain_map(text: str) -> tuple[str, list[int] | None]:
                 continue
         elif "\ufe00" <= ch <= "\ufe0f" and not (i and _KEEP.match(text[i - 1])):
             continue
-        kept.append(chr(_ONE.get(ord(ch), ord(ch))))
-        at.append(i)
+        for x in LIGATURES.get(ch) or chr(_ONE.get(ord(ch), ord(ch))):
+            kept.append(x)
+            at.append(i)
     for m in _WORD.finditer("".join(kept)):
         w = m.group()
-        if _FOREIGN.search(w) and _LATIN.match(w):
+        if _FOREIGN.search(w) and disguised(w, text):
             kept[m.start() : m.end()] = w.translate(_LOOK)
     out, places, i, n = [], [], 0, len(kept)
     while i < n:  # by base letter with its marks, so that places survive composition

@@ -24,13 +24,13 @@ _LEVELS = tuple((k, regex.compile(p)) for k, p in _LEVELS)
 
 
 class RangeMax:
-    """Sparse table of the place of the maximum; of equal values the rightmost."""
+    """Sparse table of the place of the maximum over at most ``span`` values; of equal values the rightmost."""
 
-    def __init__(self, values: np.ndarray):
+    def __init__(self, values: np.ndarray, span: int | None = None):
         self.v = values
-        self.rows = [np.arange(len(values))]
+        self.rows = [np.arange(len(values), dtype=np.int32 if len(values) < 1 << 31 else np.int64)]
         step = 1
-        while 2 * step <= len(values):
+        while 2 * step <= min(len(values), span or len(values)):
             a, b = self.rows[-1][:-step], self.rows[-1][step:]
             self.rows.append(np.where(values[b] >= values[a], b, a))
             step *= 2
@@ -58,7 +58,7 @@ def pieces(text: str, enc: Encoder, limit: int, overlap: int) -> list[tuple[int,
         for m in p.finditer(text):
             by_char[m.end()] = max(by_char[m.end()], k)
     strength = np.where(safe, by_char[chars], 0)
-    index = RangeMax(strength)
+    index = RangeMax(strength, limit + 1)
     out, s = [], 0
     while True:
         top = min(n, s + limit)

@@ -2,9 +2,10 @@
 
 Method: DuckDB runs inside Arrow partitions (``mapInArrow``); one embedded SQL statement per batch maps full-width
 forms and special spaces (``translate``), drops invisible characters outside emoji sequences and writes split vowels as
-one letter (regular expressions and ``replace``), turns look-alike letters of Latin words into Latin ones, and composes
-with ``nfc_normalize``. Emoji sequences, fractions and powers stay as they are; a word of another script that is not
-made of look-alikes stays too.
+one letter (regular expressions and ``replace``), writes ligatures as letters, turns look-alike letters of Latin words
+into Latin ones, and composes with ``nfc_normalize``. Emoji sequences, fractions and powers stay as they are. A word that
+has no Latin letter is Latin only if all its letters are close look-alikes and nothing else in the text is of their
+script; a word of another script stays.
 
 Cases: null text gives null and is no finding; empty text stays empty; repeated rows are kept by ``unify`` and count
 once in ``p7_found``; an empty table gives an empty result; other columns pass through untouched, also one that is
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuskit.llm.canon import INVISIBLE, LOOKALIKES, SPACES, VOWELS
+from corpuskit.llm.canon import INVISIBLE, LIGATURES, LOOKALIKES, LOOSE, SPACES, VOWELS
 
 
 def _class(chars: str) -> str:
@@ -37,27 +38,35 @@ def form_sql(column: str = "text") -> str:
     vowels = "s3"
     for k, v in VOWELS.items():
         vowels = f"replace({vowels}, '{k}', '{v}')"
-    suspect = "[" + _class(SPACES + INVISIBLE + look) + r"\x{200d}\x{fe00}-\x{fe0f}\x{ff01}-\x{ff5e}]|[अआएउ]\p{M}"
+    fused = f"translate(replace(replace(t, chr(64976), ''), chr(64977), ''), '{wide + SPACES}', '{thin + ' ' * len(SPACES)}')"
+    for k, v in LIGATURES.items():
+        fused = f"replace({fused}, '{k}', '{v}')"
+    close = rf"regexp_matches(w, '\p{{Latin}}') OR (NOT regexp_matches(w, '[{_class(LOOSE)}]') AND NOT alien)"
+    suspect = "[" + _class(SPACES + INVISIBLE + look + "".join(LIGATURES)) + r"\x{200d}\x{fe00}-\x{fe0f}\x{ff01}-\x{ff5e}]|[अआएउ]\p{M}"
     return f"""
 WITH a AS (SELECT i, {column} AS t, regexp_matches({column}, '{suspect}') AS odd FROM src),
-b AS (SELECT i, t, odd, CASE WHEN odd THEN translate(t, '{wide + SPACES}', '{thin + " " * len(SPACES)}') ELSE t END AS s1 FROM a),
+b AS (SELECT i, t, odd, CASE WHEN odd THEN {fused} ELSE t END AS s1 FROM a),
 c AS (SELECT i, t, odd, CASE WHEN odd AND regexp_matches(s1, '[\\x{{200d}}\\x{{fe00}}-\\x{{fe0f}}]') THEN
   replace(replace(regexp_replace(regexp_replace(
     regexp_replace(regexp_replace(s1, '{joined}', '\\1' || chr(64976) || '\\2', 'g'), '{joined}', '\\1' || chr(64976) || '\\2', 'g'),
     '{styled}', '\\1' || chr(64977), 'g'),
     '[\\x{{200d}}\\x{{fe00}}-\\x{{fe0f}}]', '', 'g'), chr(64976), chr(8205)), chr(64977), chr(65039)) ELSE s1 END AS s2 FROM b),
 d AS (SELECT i, t, odd, CASE WHEN odd THEN regexp_replace(s2, '[{_class(INVISIBLE)}]', '', 'g') ELSE s2 END AS s3 FROM c),
-e AS (SELECT i, t, CASE WHEN odd THEN {vowels} ELSE s3 END AS s4 FROM d),
+e AS (SELECT i, t, CASE WHEN odd THEN {vowels} ELSE s3 END AS s4, regexp_matches(regexp_replace(t, '[{_class(look)}]', '', 'g'), '[\\p{{Cyrillic}}\\p{{Greek}}]') AS alien FROM d),
 f AS (SELECT i, t, CASE WHEN regexp_matches(s4, '[{_class(look)}]') THEN
   array_to_string(list_transform(regexp_extract_all(s4, '[\\p{{L}}\\p{{M}}]+|[^\\p{{L}}\\p{{M}}]+'),
-    lambda w: CASE WHEN regexp_full_match(w, '[\\p{{Latin}}\\p{{M}}{_class(look)}]+') THEN translate(w, '{look}', '{like}') ELSE w END), '') ELSE s4 END AS s5 FROM e)
+    lambda w: CASE WHEN regexp_full_match(w, '[\\p{{Latin}}\\p{{M}}{_class(look)}]+') AND ({close}) THEN translate(w, '{look}', '{like}') ELSE w END), '') ELSE s4 END AS s5 FROM e)
 SELECT i, nfc_normalize(s5) AS plain_text FROM f ORDER BY i"""
 
 
 def _batches(it: Iterator[pa.RecordBatch], column: str, only_changed: bool) -> Iterator[pa.RecordBatch]:
     import duckdb
 
-    con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+    with duckdb.connect(config={"threads": 1, "memory_limit": "400MB"}) as con:
+        yield from _formed(con, it, column, only_changed)
+
+
+def _formed(con, it: Iterator[pa.RecordBatch], column: str, only_changed: bool) -> Iterator[pa.RecordBatch]:
     sql = form_sql()
     for batch in it:
         if not batch.num_rows:

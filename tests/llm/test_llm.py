@@ -11,6 +11,16 @@ def test_plain_and_skeleton():
     assert spoken("n4ng1") == "nangi" and spoken("#x") == ""
 
 
+def test_both_forms_agree_on_odd_texts(spark):
+    texts = ["Москва", "нос", "еѕ to", "ѕе kaam", "сор и рост мышь", "pаlасе", "Ελλάδα", "ﬁne oﬃce", "a\ufdd0b", "x½ y² \u2763\ufe0f", "Ｆｕｌｌ", "a\u00a0b", "\U0001f469\u200d\U0001f33e", "е\u0301x", "" , None, "बा\u200dत", "Κα", "αβ", "І.", "Мoсkвa"]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "sentence_id string, text string")
+    got = {r.text: r.plain_text for r in unify(df).collect()}
+    for t in texts:
+        assert got[t] == (plain(t) if t else t), (t, got[t], plain(t))
+    assert got["Москва"] == "Москва" and got["нос"] == "нос" and got["ѕе kaam"] == "se kaam" and got["сор и рост мышь"] == "сор и рост мышь" and got["ﬁne oﬃce"] == "fine office" and got["pаlасе"] == "palace" and got["a\ufdd0b"] == "ab"
+    assert odd_records(df, "sentence_id").where("key in (0, 1, 4, 6)").count() == 0
+
+
 def test_unify_matches_plain(spark):
     rows = [("1", None), ("2", ""), ("3", "a​b"), ("4", "plain"), ("3", "a​b"), ("5", "अा")]
     df = spark.createDataFrame(rows, "sentence_id string, text string")
