@@ -88,7 +88,7 @@ def strongest(f: np.ndarray, w: np.ndarray) -> tuple[float, int]:
     return float(win[i]), i
 
 
-def fit(positive: list[str], unlabelled: list[str], labelled_share: float | None = None, rounds: int = 2, epochs: int = 12) -> tuple[np.ndarray, float, float, float]:
+def fit(positive: list[str], unlabelled: list[str], labelled_share: float | None = None, rounds: int = 2, epochs: int = 24) -> tuple[np.ndarray, float, float, float]:
     """Weights, bias, class prior and hidden share.
 
     The risk is pi R_p(+) + max(0, R_u(-) - h R_p(-)): pi the share of positives in all, h their share among the rows not
