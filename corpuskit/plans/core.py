@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -385,14 +387,62 @@ def round_trip_failures(s: SparkSession, d: str) -> DataFrame:
     return f.select("sentence_id", F.array_join("fields", ",").alias("fields"))
 
 
-def _written(s: SparkSession, a: DataFrame) -> str:
-    import uuid
+def _path(s: SparkSession, ending: str) -> str:
+    return f"{shared_folder(s)}/corpuskit-{s.sparkContext.applicationId}/{uuid.uuid4().hex}.{ending}"
+
 
-    path = f"{shared_folder(s)}/corpuskit-{s.sparkContext.applicationId}/{uuid.uuid4().hex}.jsonl"
-    files.write_annotated(a, path)
+def _written(s: SparkSession, a: DataFrame) -> str:
+    files.write_annotated(a, path := _path(s, "jsonl"))
     return path
 
 
+def round_trip_report(s: SparkSession, d: str) -> DataFrame:
+    """Records, those that came back as they were, and the others."""
+    a = ranks.first_per_key(_t(s, d, "annotated_sentences"), "sentence_id", ["text", "platform", "split"])
+    return validate.round_trip_report(a, validate.round_trip(files.read_annotated_like(a), files.read_annotated(s, _written(s, a))))
+
+
+# --- files ----------------------------------------------------------------------------------------------------------
+
+
+def csv_import(s: SparkSession, d: str) -> DataFrame:
+    """Raw records written as CSV and imported as manual records."""
+    files.write_csv(_raw(s, d), path := _path(s, "csv"))
+    return files.read_csv(s, path).select("text", "source_url", "platform")
+
+
+def csv_import_counts(s: SparkSession, d: str) -> DataFrame:
+    return files.import_counts(_raw(s, d), filters.manual_records(_raw(s, d)))
+
+
+def text_import(s: SparkSession, d: str) -> DataFrame:
+    """Texts of raw records as lines of a text file and imported as manual records of one platform."""
+    _raw(s, d).select(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]+", " ")).write.text(path := _path(s, "txt"))
+    return files.read_text(s, path, "sharechat").select("text", "source_url", "platform")
+
+
+def jsonl_merge(s: SparkSession, d: str) -> DataFrame:
+    """Raw records written as two JSON-lines files and merged, those of sharechat first; a third file is missing."""
+    r = ranks.first_per_key(_raw(s, d).select("sentence_id", "seq", "text", "source_url", "platform", "collected_at"), ["sentence_id", "platform"], "seq")
+    parts = [(r.where("platform = 'sharechat'"), _path(s, "jsonl")), (r.where("platform = 'twitter'"), _path(s, "jsonl"))]
+    for df, path in parts:
+        files.write_raw(df, path)
+    return files.merge_raw(s, [*(p for _, p in parts), _path(s, "jsonl")]).select("sentence_id", "text", "platform", T.iso("collected_at").alias("collected_at"))
+
+
+def parquet_test_split(s: SparkSession, d: str) -> DataFrame:
+    """The test split of annotated sentences stored by split as Parquet: only its folder is read."""
+    files.write_annotated(_annotated(s, d, "text", "platform", "split", "sentiment", "sentiment_annotator_labels", "ner_spans", "ner_annotator_spans", "toxicity_labels", "toxicity_annotator_labels", "token_language_labels", "source_url", "collected_at", "annotated_at"), path := _path(s, "parquet"), "parquet", by_split=True)
+    return filters.in_split(files.read_annotated(s, path, "parquet"), "test").select("sentence_id", "sentiment", F.size("ner_spans").alias("spans"))
+
+
+def annotation_tasks(s: SparkSession, d: str) -> DataFrame:
+    """Raw records as an annotation tool imports them."""
+    r = ranks.first_per_key(_raw(s, d), "sentence_id", "seq")
+    t = files.annotation_tasks(r)
+    return t.select(F.get_json_object("value", "$.data.sentence_id").alias("sentence_id"), F.get_json_object("value", "$.data.text").alias("text"), F.get_json_object("value", "$.data.collected_at").alias("collected_at"))
+
+
 # --- reports --------------------------------------------------------------------------------------------------------
 
 
@@ -499,7 +549,8 @@ QUERIES = {
         majority_sentiment, majority_toxicity, majority_spans, toxicity_vote, span_vote, sentiment_export, toxicity_export, ner_export, adjudicated,
         kappa_sentiment, kappa_toxicity, kappa_ner, kappa_ner_per_sentence, iaa_flags,
         langid_tokens, langid_distribution, langid_metrics, langid_augmented, sentiment_predict, sentiment_metrics, sentiment_ablation, toxicity_predict, toxicity_metrics, should_oversample, class_weights, toxicity_weights,
-        ner_tag, ner_bio, bio_round_trip, ner_metrics, span_invariant_errors, toxicity_label_errors, schema_errors, round_trip_failures,
+        ner_tag, ner_bio, bio_round_trip, ner_metrics, span_invariant_errors, toxicity_label_errors, schema_errors, round_trip_failures, round_trip_report,
+        csv_import, csv_import_counts, text_import, jsonl_merge, parquet_test_split, annotation_tasks,
         platform_proportions, corpus_statistics, entity_statistics, language_statistics, platform_split_eval, comparison_pivot, release_gate, training_log, few_shot_prompts,
         daily_exposure, open_assignments, replacement_queue, page_posts, search_query,
     )

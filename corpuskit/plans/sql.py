@@ -183,6 +183,13 @@ u AS (SELECT * FROM q UNION ALL SELECT sentence_id, text, 'ner_annotator_spans['
         "toxicity_label_errors": f"WITH v AS (SELECT DISTINCT item_id || '/' || annotator AS sentence_id, list_concat(labels, labels[1:1]) AS l FROM tox_votes), b AS (SELECT sentence_id, 'invalid' AS error, list_filter(l, lambda x: x NOT IN ({_in(CATEGORIES)})) AS labels FROM v UNION ALL SELECT sentence_id, 'duplicate', list_transform(list_filter(range(1, len(l) + 1), lambda i: list_contains(l[1:i - 1], l[i])), lambda i: l[i]) FROM v) SELECT sentence_id, error, array_to_string(labels, ',') AS labels FROM b WHERE len(labels) > 0",
         "schema_errors": f"WITH d AS (SELECT DISTINCT * FROM annotated_sentences) SELECT sentence_id, 'platform' AS field, platform AS value FROM d WHERE platform IS NULL OR platform NOT IN ('twitter', 'sharechat') UNION ALL SELECT sentence_id, 'split', split FROM d WHERE split IS NULL OR split NOT IN ('train', 'validation', 'test') UNION ALL SELECT sentence_id, 'sentiment', sentiment FROM d WHERE sentiment IS NULL OR sentiment NOT IN ({_in(SENTIMENTS)}) UNION ALL SELECT sentence_id, 'toxicity_labels', c FROM (SELECT sentence_id, unnest(toxicity_labels) AS c FROM d) WHERE c IS NULL OR c NOT IN ({_in(CATEGORIES)}) UNION ALL SELECT sentence_id, 'ner_spans', p.entity_type FROM (SELECT sentence_id, unnest(ner_spans) AS p FROM d) WHERE p.entity_type IS NULL OR p.entity_type NOT IN ('PER', 'LOC', 'ORG')" + "".join(f" UNION ALL SELECT sentence_id, '{c}', NULL FROM d WHERE {c} IS NULL" for c in ("sentence_id", "text", "sentiment_annotator_labels", "ner_spans", "ner_annotator_spans", "toxicity_labels", "toxicity_annotator_labels", "token_language_labels", "collected_at", "annotated_at")),
         "round_trip_failures": f"WITH {_A} SELECT sentence_id, 'text' AS fields FROM a WHERE {_NFC}(text) <> text",
+        "round_trip_report": f"WITH {_A} SELECT count(*) AS records, count(*) - count(*) FILTER ({_NFC}(text) <> text) AS passed, count(*) FILTER ({_NFC}(text) <> text) AS failed FROM a",
+        "csv_import": f"WITH m AS (SELECT {_NFC}({_strip('text')}) AS text, {_strip('source_url')} AS u, lower({_strip('platform')}) AS p FROM raw_sentences), n AS (SELECT *, CASE WHEN p IN ('twitter', 'facebook', 'whatsapp', 'sharechat', 'news', 'other') THEN p ELSE 'other' END AS q FROM m) SELECT text, coalesce(nullif(u, ''), 'manual://' || q) AS source_url, CASE q WHEN 'sharechat' THEN 'sharechat' ELSE 'twitter' END AS platform FROM n WHERE length(text) >= 10",
+        "csv_import_counts": f"SELECT count(*) AS read, count(*) FILTER (length({_NFC}({_strip('text')})) >= 10) AS kept, count(*) FILTER (coalesce(length({_NFC}({_strip('text')})), 0) < 10) AS skipped FROM raw_sentences",
+        "text_import": f"SELECT t AS text, 'manual://sharechat' AS source_url, 'sharechat' AS platform FROM (SELECT {_NFC}({_strip("regexp_replace(text, '[\\r\\n]+', ' ', 'g')")}) AS t FROM raw_sentences WHERE text IS NOT NULL) WHERE length(t) >= 10 AND t NOT LIKE '#%'",
+        "jsonl_merge": "WITH r AS (SELECT * FROM raw_sentences WHERE sentence_id IS NOT NULL AND platform IN ('sharechat', 'twitter') QUALIFY row_number() OVER (PARTITION BY sentence_id ORDER BY CASE platform WHEN 'sharechat' THEN 0 ELSE 1 END, seq) = 1) SELECT sentence_id, text, platform, strftime(coalesce(collected_at, TIMESTAMP '1970-01-01'), '%Y-%m-%dT%H:%M:%SZ') AS collected_at FROM r",
+        "parquet_test_split": f"WITH {_A} SELECT sentence_id, sentiment, coalesce(len(ner_spans), 0)::INT AS spans FROM a WHERE split = 'test'",
+        "annotation_tasks": f"WITH {_R} SELECT sentence_id, text, strftime(collected_at, '%Y-%m-%dT%H:%M:%SZ') AS collected_at FROM r",
         "platform_proportions": f"SELECT {_PLAT} AS platform, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6)::DOUBLE AS share FROM raw_sentences GROUP BY 1",
         "corpus_statistics": f"WITH d AS (SELECT coalesce(split, 'none') AS s, coalesce({_PLAT}, 'none') AS p, coalesce(len({_toks('text')}), 0) AS t, coalesce(len(ner_spans), 0) > 0 AS e, coalesce(len(toxicity_labels), 0) > 0 AS x, sentiment FROM annotated_sentences) {cube} FROM d GROUP BY CUBE (s, p)",
         "entity_statistics": "SELECT split, p.entity_type AS entity_type, count(*) AS n FROM (SELECT split, unnest(ner_spans) AS p FROM annotated_sentences) GROUP BY ALL",

@@ -145,6 +145,16 @@ def read_export(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EXPORT).json(path, multiLine=True)
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """Records (text, source_url, platform) as the CSV that ``read_csv`` reads, quoted, with blanks kept."""
+    df.select("text", "source_url", "platform").write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+def import_counts(source: DataFrame, kept: DataFrame) -> DataFrame:
+    """(read, kept, skipped) of an import."""
+    return source.agg(F.count("*").alias("read")).crossJoin(F.broadcast(kept.agg(F.count("*").alias("kept")))).select("read", "kept", (F.col("read") - F.col("kept")).alias("skipped"))
+
+
 def annotation_tasks(df: DataFrame) -> DataFrame:
     """(value): records as the JSON an annotation tool imports, one object with ``data`` a line."""
     data = F.struct("sentence_id", "text", "platform", "source_url", iso("collected_at").alias("collected_at"))
