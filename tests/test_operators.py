@@ -83,6 +83,16 @@ def test_near_duplicates_against_brute_force(spark):
     assert dedup.greedy_keep(df.limit(0)).count() == 0
 
 
+def test_banded_pairs_are_true_ones(spark):
+    rng = random.Random(7)
+    base = ["".join(rng.choice("abcdefghijklmnop ") for _ in range(120)) for _ in range(60)]
+    rows = [(2 * i, t) for i, t in enumerate(base)] + [(2 * i + 1, t[:60] + "#" + t[61:]) for i, t in enumerate(base)]
+    _, classes = dedup.gram_classes(spark.createDataFrame(rows, "seq long, text string"))
+    exact = {(r.ca, r.cb) for r in dedup.class_pairs(classes).collect()}
+    some = {(r.ca, r.cb) for r in dedup.class_pairs(classes, banded=True).collect()}
+    assert len(exact) == 60 and some <= exact and len(some) > 50
+
+
 def test_greedy_keeps_both_ends_of_a_chain(spark):
     t = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
     rows = [(1, t), (2, t[:-2] + "12"), (3, t[:-4] + "3412")]
