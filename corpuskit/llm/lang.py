@@ -13,7 +13,7 @@ ties and uncertain words. Declared languages are taken as right with ``DECLARED`
 
 The model is a table of fixed size, whatever the corpus: counts by label of every word (as it is spelt, and with repeated
 letters written once), host and suffix, added up at two hashed places of ``BUCKETS`` each; the place with fewer counts is
-read. Counts are exact as long as a key is alone at one of its places; nothing is left out. 64 MB at most.
+read. Counts are exact as long as a key is alone at one of its places; nothing is left out. 80 MB at most.
 
 Cases: null and empty texts give no units; blocks without letters give none; a missing, short or null label array means
 missing labels; ties go to the earlier of RAJ/HIN or ENG/TRL; repeated rows give one row in p4_found; without any labels
@@ -123,15 +123,15 @@ class Evidence(dict):
         return r
 
 
-_models: dict[int, Evidence] = {}
+_models: dict[int, tuple[tuple, Evidence]] = {}
 
 
 def _evidence(model: tuple) -> Evidence:
     """One for each model in a worker."""
     if id(model) not in _models:
         _models.clear()
-        _models[id(model)] = Evidence(model)
-    return _models[id(model)]
+        _models[id(model)] = model, Evidence(model)  # the model is kept, so that no other gets its id
+    return _models[id(model)][1]
 
 
 @F.arrow_udf(StringType())

@@ -10,7 +10,8 @@ aligned; coverage is the share of the longer wording that is so explained, moved
 ``BRIEF`` words, of which one edit may leave no seed, also meet by all their forms with one word left out, which is exact
 for one word added, dropped, moved, misspelt or replaced. Exact copies meet as one wording.
 
-Cases: null texts and texts without words match nothing; repeated rows count once; an empty table gives no pairs; a
+Cases: null texts and texts without words match nothing; wordings under four
+words match only as exact copies or where a longer one is theirs with one word more; repeated rows count once; an empty table gives no pairs; a
 record in several splits is on each side it is in; platform and split may be null (p1_rates shows them so).
 """
 
@@ -215,7 +216,7 @@ def _left_out(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig, owner = [], []
         for w, text in zip(b.column("w").to_pylist(), b.column("wording").to_pylist()):
             words = text.split()
-            forms = {text, *(" ".join(words[:i] + words[i + 1 :]) for i in range(len(words) if len(words) > 1 else 0))}
+            forms = {text, *(" ".join(words[:i] + words[i + 1 :]) for i in range(len(words) if len(words) > 3 else 0))}
             sig += [xxhash.xxh3_128_digest(f) for f in forms]
             owner += [w] * len(forms)
         yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array(owner, pa.int64())], names=["sig", "w"])

@@ -82,19 +82,32 @@ def pieces(text: str, enc: Encoder, limit: int, overlap: int) -> list[tuple[int,
         s = back if safe[back] else e
 
 
+#: Characters of cut texts after which a batch is handed on.
+FLUSH = 8_000_000
+_KINDS = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [()] * 7
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _KINDS)], names=["doc_id", "piece_no", "pieces", "start_at", "end_at", "n_tokens", "text"])
+
+
 def _cut(it: Iterator[pa.RecordBatch], vocab: bytes, limit: int, overlap: int, least: int) -> Iterator[pa.RecordBatch]:
     enc = encoder(vocab)
     for batch in it:
         rows: list[tuple] = []
+        size = 0
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if size > FLUSH:
+                yield _batch(rows)
+                rows, size = [], 0
             if not text or (least > limit and len(text) * 4 <= limit):
                 continue
             got = pieces(text, enc, limit, overlap)
             if len(got) > 1 or (got and least <= limit):
                 rows += [(key, k, len(got), a, b, n, text[a:b]) for k, (a, b, n) in enumerate(got)]
-        cols = list(zip(*rows)) or [()] * 7
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "piece_no", "pieces", "start_at", "end_at", "n_tokens", "text"])
+                size += len(text)
+        yield _batch(rows)
 
 
 def split(docs: DataFrame, limit: int, overlap: int, tokenizer: str, only_cut: bool = True, folder: str = TOKENIZER_DIR) -> DataFrame:

@@ -313,15 +313,15 @@ def name_table(annotated: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return t.column("place").to_numpy(), counts
 
 
-_kept: dict[int, Names] = {}
+_kept: dict[int, tuple[tuple, Names]] = {}
 
 
 def _names(table: tuple) -> Names:
     """One for each table in a worker."""
     if id(table) not in _kept:
         _kept.clear()
-        _kept[id(table)] = Names(table)
-    return _kept[id(table)]
+        _kept[id(table)] = table, Names(table)  # the table is kept, so that no other gets its id
+    return _kept[id(table)][1]
 
 
 _FINDS = "record_id string, kind string, start_at int, end_at int, pseudonym string"
