@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpuskit.functions.session import cut
 from corpuskit.functions.text import nfc, shingles
+from corpuskit.operators.counts import count_table
 from corpuskit.operators.ranks import first_per_key
 
 
@@ -146,10 +147,7 @@ def class_pairs(classes: DataFrame, percent: int = 85, k: int = 3, banded: bool
         p = cut(own.mapInArrow(lambda it: _banded(it, k), "g bigint, class bigint"))
         maybe = p.select("g", F.col("class").alias("ca")).join(p.select("g", F.col("class").alias("cb")), "g").where("ca < cb").select("ca", "cb").distinct()
         return _verified(maybe, own, percent, k)
-    got = classes.select("text").mapInArrow(lambda it: _counted(it, k), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(BUCKETS, np.int64)
-    table[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
-    often = classes.sparkSession.sparkContext.broadcast(table)
+    often = classes.sparkSession.sparkContext.broadcast(count_table(classes.select("text").mapInArrow(lambda it: _counted(it, k), "bucket int, n bigint"), BUCKETS))
     p = cut(classes.select("class", "text").mapInArrow(lambda it: _prefixes(it, often.value, percent, k), _PREFIX))
     side = lambda x: p.select("g", *(F.col(c).alias(f"{c}{x}") for c in ("class", "n", "s0", "s1", "s2", "s3")))
     lacks = lambda x, y: sum(F.bit_count(F.col(f"s{i}{x}").bitwiseAND(F.bitwise_not(f"s{i}{y}"))) for i in range(4))

@@ -83,6 +83,15 @@ def test_near_duplicates_against_brute_force(spark):
     assert dedup.greedy_keep(df.limit(0)).count() == 0
 
 
+def test_count_table_is_dense_and_capped(spark):
+    from corpuskit.operators.counts import count_table
+
+    df = spark.createDataFrame([(0, 2), (5000, 70_000), (9999, 1), (0, 3)], "bucket int, n long")
+    t = count_table(df, 10_000)
+    assert len(t) == 10_000 and t[0] == 5 and t[5000] == 65535 and t[9999] == 1 and t.astype(int).sum() == 65541
+    assert count_table(df.limit(0), 10).tolist() == [0] * 10
+
+
 def test_banded_pairs_are_true_ones(spark):
     rng = random.Random(7)
     base = ["".join(rng.choice("abcdefghijklmnop ") for _ in range(120)) for _ in range(60)]
