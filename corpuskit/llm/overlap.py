@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from corpuskit.functions.session import cut
 from corpuskit.llm.canon import skeleton
+from corpuskit.operators.counts import count_table
 
 GRAM, WINDOW, SHARED, COVERED = 3, 2, 0.25, 0.75
 #: Of a covered wording, so many of its words may be misspelt: the rest of the covered ones are equal.
@@ -236,10 +237,7 @@ def _verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def often_in(words: DataFrame) -> np.ndarray:
     """Fingerprints of the wordings by hash bucket, at most 65 535: ``BUCKETS`` numbers, however many wordings."""
-    got = words.select("wording").mapInArrow(_buckets, "bucket int, n bigint").groupBy("bucket").agg(F.least(F.sum("n"), F.lit(65535)).cast("int").alias("n")).toArrow()
-    out = np.zeros(BUCKETS, np.uint16)
-    out[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
-    return out
+    return count_table(words.select("wording").mapInArrow(_buckets, "bucket int, n bigint"), BUCKETS)
 
 
 def candidates(words: DataFrame) -> DataFrame:
