@@ -16,6 +16,7 @@ empty table gives an empty sample and a report of zeros; other columns are ignor
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from math import ceil
 
@@ -44,8 +45,6 @@ def members(rows: DataFrame) -> DataFrame:
 
 def _keep(it: Iterator[pa.RecordBatch], most: dict[tuple[str, str], int], seed: int) -> Iterator[pa.RecordBatch]:
     """The task's reservoirs: rows of least priority of each target cell, and a row without a key with the count."""
-    import xxhash
-
     kept: dict[tuple[str, str], tuple[list, list]] = {}
     seen: dict[tuple[str, str], int] = {}
 
@@ -61,7 +60,7 @@ def _keep(it: Iterator[pa.RecordBatch], most: dict[tuple[str, str], int], seed:
             seen[cell] = seen.get(cell, 0) + 1
             if cell in most:
                 p, k = kept.setdefault(cell, ([], []))
-                p.append(xxhash.xxh64_intdigest(key, seed) >> 1)
+                p.append(int(hashlib.md5(f"{seed}|{key}".encode()).hexdigest()[:15], 16))
                 k.append(key)
                 if len(p) > 2 * most[cell] + 1024:
                     trim(cell)
@@ -102,7 +101,7 @@ def reservoirs(rows: DataFrame, targets: DataFrame, seed: int = 42) -> tuple[Dat
 def trimmed(kept: DataFrame, quota: DataFrame) -> DataFrame:
     """The rows of least priority of each cell, ``quota`` of them."""
     cell = ["platform", "sentiment"]
-    width = (1 << 63) // BINS
+    width = (1 << 60) // BINS
     k = kept.withColumn("bin", F.expr(f"priority div {width}"))
     hist = k.groupBy(*cell, "bin").agg(F.count("*").alias("n"))
     below = F.sum("n").over(Window.partitionBy(*cell).orderBy("bin")) - F.col("n")
@@ -130,6 +129,21 @@ def p5_found(s: SparkSession, d: str) -> DataFrame:
     return p5_report(s, d).where("exhausted").select("platform", "sentiment")
 
 
+_A = "a AS (SELECT DISTINCT sentence_id, lower(trim(platform)) AS platform, sentiment FROM annotated_sentences WHERE platform IS NOT NULL AND sentiment IS NOT NULL)"
+#: Quotas in closed form: between two neighbouring values of x at which a cell meets its floor or capacity, the sum of
+#: the cells is a line in x.
+_QUOTAS = f"""{_A}, c AS (SELECT platform, sentiment, count(*) AS n FROM a GROUP BY ALL),
+t AS (SELECT row_number() OVER (ORDER BY t.platform, t.sentiment) AS i, t.platform, t.sentiment, target_share, coalesce(n, 0) AS cap, least(min_rows, coalesce(n, 0)) AS flo, target_share * sample_fraction * (SELECT count(*) FROM a) AS w FROM sample_targets t LEFT JOIN c USING (platform, sentiment)),
+g AS (SELECT least(greatest(round(sum(w)), sum(flo)), sum(cap)) AS goal FROM t),
+x AS (SELECT 0.0::DOUBLE AS x UNION SELECT cap / w FROM t WHERE w > 0 UNION SELECT flo / w FROM t WHERE w > 0),
+f AS (SELECT x, sum(least(greatest(x * w, flo), cap)) AS s FROM x, t GROUP BY x),
+b AS (SELECT x AS x0, s AS s0, lead(x) OVER (ORDER BY x) AS x1, lead(s) OVER (ORDER BY x) AS s1 FROM f),
+l AS (SELECT coalesce((SELECT min(x0 + CASE WHEN s1 > s0 THEN (goal - s0) / (s1 - s0) * (x1 - x0) ELSE 0 END) FROM b, g WHERE s0 <= goal AND s1 >= goal), (SELECT max(x) FROM x)) AS x),
+r AS (SELECT t.*, least(greatest(l.x * w, flo), cap) AS real FROM t, l), o AS (SELECT *, least(greatest(floor(real + 1e-9), flo), cap) AS base FROM r),
+q AS (SELECT *, base + CASE WHEN base < cap AND w > 0 AND row_number() OVER (PARTITION BY base < cap AND w > 0 ORDER BY round(base - real, 9), i) <= (SELECT goal FROM g) - sum(base) OVER () THEN 1 ELSE 0 END AS quota FROM o)"""
+
 SQL = {
+    "p5_sample": f"WITH {_QUOTAS} SELECT sentence_id, platform, sentiment FROM a JOIN q USING (platform, sentiment) QUALIFY row_number() OVER (PARTITION BY platform, sentiment ORDER BY substr(md5('42|' || sentence_id), 1, 15), sentence_id) <= quota",
+    "p5_report": f"WITH {_QUOTAS} SELECT platform, sentiment, target_share, cap AS rows, w AS wanted, quota::BIGINT AS quota, quota::BIGINT AS taken, (quota / sum(quota) OVER ())::DOUBLE AS actual_share, greatest(0.0, w - quota)::DOUBLE AS unmet, w > cap AS exhausted FROM q",
     "p5_found": "WITH a AS (SELECT DISTINCT sentence_id, lower(trim(platform)) p, sentiment s FROM annotated_sentences WHERE platform IS NOT NULL AND sentiment IS NOT NULL), c AS (SELECT p, s, count(*) n FROM a GROUP BY ALL) SELECT t.platform, t.sentiment FROM sample_targets t LEFT JOIN c ON t.platform = p AND t.sentiment = s WHERE target_share * sample_fraction * (SELECT count(*) FROM a) > coalesce(n, 0)",
 }

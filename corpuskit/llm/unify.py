@@ -108,6 +108,15 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def oracle_sql(only_changed: bool) -> str:
+    """The same form over whole tables."""
+    src = " UNION ALL ".join(f"SELECT '{t}' AS tbl, sentence_id, text FROM {t}" for t in ("raw_sentences", "annotated_sentences"))
+    head = f"WITH s AS MATERIALIZED (SELECT row_number() OVER () AS i, * FROM ({src})), src AS (SELECT i, text FROM s), p AS ({form_sql()}) "
+    if only_changed:
+        return head + "SELECT DISTINCT tbl, sentence_id FROM s JOIN p USING (i) WHERE plain_text <> text"
+    return head + "SELECT tbl, sentence_id, plain_text FROM s JOIN p USING (i)"
+
+
 def p7_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of both tables in its consistent form."""
     parts = []
@@ -115,3 +124,6 @@ def p7_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
         src = spark.read.parquet(f"{sf_dir}/{tbl}.parquet").select("sentence_id", "text")
         parts.append(unify(src).select(F.lit(tbl).alias("tbl"), "sentence_id", "plain_text"))
     return parts[0].unionByName(parts[1])
+
+
+SQL = {"p7_found": oracle_sql(True), "p7_forms": oracle_sql(False)}
