@@ -117,7 +117,18 @@ UNION ALL SELECT 'ner', plat, macro_f1 FROM (WITH RECURSIVE {_A}, {ner}, {gold},
         f"SELECT sentence_id, '{t}' AS task, md5(replace('{h}', '|', {line}) || coalesce((SELECT string_agg('Example ' || r || ':' || {line} || '  Sentence: ' || text || {line} || '  {n}: ' || {v} || {line}, {line} ORDER BY r) || {line} FROM shots), '') || 'Sentence: ' || text || {line} || '{n}:') AS digest FROM a WHERE split = 'test' AND text IS NOT NULL"
         for t, (h, n, v) in heads.items()
     )
+    near = f"""WITH {_FIRST}, g AS (SELECT seq, list_distinct(list_transform(range(1, greatest(length({_NFC}(text)) - 1, 1)), lambda i: substring({_NFC}(text), i, 3))) AS s FROM f), u AS (SELECT seq, len(s) AS n, unnest(s) AS x FROM g),
+df AS (SELECT x, count(*) AS c FROM u GROUP BY 1), rk AS (SELECT u.*, row_number() OVER (PARTITION BY seq ORDER BY c, u.x) AS r FROM u JOIN df USING (x)), pre AS (SELECT seq, x, n FROM rk WHERE r <= n - ceil(0.85 * n) + 1),
+cand AS (SELECT DISTINCT a.seq AS a, b.seq AS b FROM pre a JOIN pre b ON a.x = b.x AND a.seq < b.seq), sz AS (SELECT cand.a, cand.b, len(list_intersect(p.s, q.s)) AS common, len(p.s) AS size_a, len(q.s) AS size_b FROM cand JOIN g p ON p.seq = cand.a JOIN g q ON q.seq = cand.b)"""
+    bio = f"""pos AS (SELECT sentence_id, i, t, length(list_aggregate(list_slice(regexp_split_to_array(text, '[^{_WS[1:-1]}]+'), 1, i + 1), 'string_agg', '')) + sum(length(t)) OVER (PARTITION BY sentence_id ORDER BY i) - length(t) AS s FROM k),
+g AS (SELECT sentence_id, generate_subscripts(ner_spans, 1) AS k, unnest(ner_spans) AS p FROM a), c AS (SELECT pos.sentence_id, i, arg_max(struct_pack(k := g.k, e := p.entity_type, s := p.start, n := p."end"), g.k) AS b FROM pos JOIN g ON g.sentence_id = pos.sentence_id AND pos.s >= p.start AND pos.s + length(t) <= p."end" GROUP BY ALL),
+f AS (SELECT c.sentence_id, c.i, c.b, min(p2.i) AS first FROM c JOIN pos p2 ON p2.sentence_id = c.sentence_id AND p2.s >= c.b.s AND p2.s + length(p2.t) <= c.b.n GROUP BY ALL), tagged AS (SELECT pos.sentence_id, pos.i::INT AS token_no, pos.s, length(pos.t) AS n, CASE WHEN f.b IS NULL THEN 'O' WHEN f.first = pos.i THEN 'B-' || f.b.e ELSE 'I-' || f.b.e END AS tag FROM pos LEFT JOIN f ON f.sentence_id = pos.sentence_id AND f.i = pos.i)"""
     return {
+        "near_dup_keep": f"""{near}, hit AS (SELECT a, b FROM sz WHERE 100 * common >= 85 * (size_a + size_b - common)),
+gone AS (SELECT coalesce(list_reduce(list([a, b] ORDER BY b, a), lambda acc, x: CASE WHEN list_contains(acc, x[1]) THEN acc ELSE list_append(acc, x[2]) END, []::BIGINT[]), []::BIGINT[]) AS d FROM hit) SELECT seq, sentence_id FROM f WHERE NOT list_contains((SELECT d FROM gone), seq)""",
+        "bio_round_trip": f"""WITH {_A}, {tokens}, {bio}, e AS (SELECT *, tag LIKE 'I-%' AND coalesce(substr(tag, 3) = substr(lag(tag) OVER (PARTITION BY sentence_id ORDER BY token_no), 3), false) AS goes_on FROM tagged),
+u AS (SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY sentence_id ORDER BY token_no) AS run, bool_and(tag NOT LIKE 'I-%' OR goes_on) OVER (PARTITION BY sentence_id) AS valid FROM e)
+SELECT sentence_id, valid, min(s)::INT AS start, max(s + n)::INT AS "end", substr(arg_min(tag, token_no), 3) AS entity_type FROM u GROUP BY sentence_id, valid, run HAVING arg_min(tag, token_no) LIKE 'B-%'""",
         "platform_split_eval": f"WITH {macros}, d AS (SELECT * FROM (VALUES ('sentiment'), ('ner'), ('toxicity')) t(task), (VALUES ('twitter', 'sharechat'), ('sharechat', 'twitter')) p(train_platform, eval_platform)) SELECT d.task, train_platform, eval_platform, round(coalesce(macro_f1, 0), 6)::DOUBLE AS macro_f1 FROM d LEFT JOIN mac ON mac.task = d.task AND mac.platform = eval_platform",
         "release_gate": f"WITH {macros}, g AS (SELECT * FROM (VALUES ('sentiment', 0.3::DOUBLE), ('ner', 0.82), ('toxicity', 0.79)) t(task, target)) SELECT g.task, round(x, 6)::DOUBLE AS actual, target, coalesce(x >= target, false) AS passed FROM g LEFT JOIN (SELECT task, min(macro_f1) AS x FROM mac GROUP BY 1) w USING (task)",
         "training_log": f"WITH {macros} SELECT task || '/' || platform AS task, 1 AS best_epoch, round(macro_f1, 6)::DOUBLE AS best_f1, 4 AS epochs FROM mac",
@@ -138,9 +149,7 @@ SELECT seq, i::INT AS token_no, t AS token, s::INT AS start, (s + length(t))::IN
         "exact_dedup": f"WITH {_FIRST} SELECT seq, sentence_id FROM f",
         "dedup_split_counts": f"SELECT {_PLAT} AS platform, split, count(*) AS n FROM (SELECT platform, split FROM annotated_sentences WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {_NFC}(text) ORDER BY sentence_id, platform, split) = 1) GROUP BY 1, 2",
         "merge_first_by_id": "SELECT seq, sentence_id, text, source_url, platform FROM raw_sentences WHERE sentence_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY sentence_id ORDER BY CASE WHEN platform IN ('twitter', 'sharechat') THEN 0 ELSE 1 END, seq) = 1",
-        "near_dup_pairs": f"""WITH {_FIRST}, g AS (SELECT seq, list_distinct(list_transform(range(1, greatest(length({_NFC}(text)) - 1, 1)), lambda i: substring({_NFC}(text), i, 3))) AS s FROM f), u AS (SELECT seq, len(s) AS n, unnest(s) AS x FROM g),
-df AS (SELECT x, count(*) AS c FROM u GROUP BY 1), rk AS (SELECT u.*, row_number() OVER (PARTITION BY seq ORDER BY c, u.x) AS r FROM u JOIN df USING (x)), pre AS (SELECT seq, x, n FROM rk WHERE r <= n - ceil(0.85 * n) + 1),
-cand AS (SELECT DISTINCT a.seq AS a, b.seq AS b FROM pre a JOIN pre b ON a.x = b.x AND a.seq < b.seq), sz AS (SELECT cand.a, cand.b, len(list_intersect(p.s, q.s)) AS common, len(p.s) AS size_a, len(q.s) AS size_b FROM cand JOIN g p ON p.seq = cand.a JOIN g q ON q.seq = cand.b)
+        "near_dup_pairs": f"""{near}
 SELECT a, b, common::INT AS common, size_a::INT AS size_a, size_b::INT AS size_b FROM sz WHERE 100 * common >= 85 * (size_a + size_b - common)""",
         "stratified_sample": f"WITH {_R}, {_POOL}, c AS (SELECT platform, count(*) AS n FROM p GROUP BY 1), q AS (SELECT platform, n, 150 * n // (SELECT sum(n) FROM c) AS k FROM c), e AS (SELECT platform, k + CASE WHEN row_number() OVER (ORDER BY n DESC, platform) <= 150 - sum(k) OVER () THEN 1 ELSE 0 END AS k FROM q) SELECT sentence_id, platform FROM p JOIN e USING (platform) QUALIFY row_number() OVER (PARTITION BY platform ORDER BY h, sentence_id) <= k",
         "stratified_split": f"WITH {_R}, {_POOL}, n AS (SELECT *, row_number() OVER (PARTITION BY platform ORDER BY h, sentence_id) AS k, count(*) OVER (PARTITION BY platform) AS n FROM p) SELECT sentence_id, platform, CASE WHEN k <= n - 2 * (n // 10) THEN 'train' WHEN k <= n - n // 10 THEN 'validation' ELSE 'test' END AS split FROM n",
@@ -175,9 +184,7 @@ SELECT a, b, common::INT AS common, size_a::INT AS size_a, size_b::INT AS size_b
         "toxicity_weights": f"WITH {_A} SELECT label, round(coalesce((SELECT count(*) FROM a) / nullif(2 * (SELECT count(*) FROM a WHERE list_contains(toxicity_labels, label)), 0), 1.0), 6)::DOUBLE AS weight FROM (SELECT unnest([{_in(CATEGORIES)}]) AS label)",
         "ner_tag": f'WITH RECURSIVE {_A}, {ner} SELECT sentence_id, start, "end", entity_type, substring(text, start + 1, "end" - start) AS span_text FROM sp',
         "ner_metrics": f"WITH RECURSIVE {_A}, {ner}, {gold}, {ner_prf} SELECT {_prf()} FROM m",
-        "ner_bio": f"""WITH {_A}, {tokens}, pos AS (SELECT sentence_id, i, t, length(list_aggregate(list_slice(regexp_split_to_array(text, '[^{_WS[1:-1]}]+'), 1, i + 1), 'string_agg', '')) + sum(length(t)) OVER (PARTITION BY sentence_id ORDER BY i) - length(t) AS s FROM k),
-g AS (SELECT sentence_id, generate_subscripts(ner_spans, 1) AS k, unnest(ner_spans) AS p FROM a), c AS (SELECT pos.sentence_id, i, arg_max(struct_pack(k := g.k, e := p.entity_type, s := p.start, n := p."end"), g.k) AS b FROM pos JOIN g ON g.sentence_id = pos.sentence_id AND pos.s >= p.start AND pos.s + length(t) <= p."end" GROUP BY ALL),
-f AS (SELECT c.sentence_id, c.i, c.b, min(p2.i) AS first FROM c JOIN pos p2 ON p2.sentence_id = c.sentence_id AND p2.s >= c.b.s AND p2.s + length(p2.t) <= c.b.n GROUP BY ALL) SELECT pos.sentence_id, pos.i::INT AS token_no, CASE WHEN f.b IS NULL THEN 'O' WHEN f.first = pos.i THEN 'B-' || f.b.e ELSE 'I-' || f.b.e END AS tag FROM pos LEFT JOIN f ON f.sentence_id = pos.sentence_id AND f.i = pos.i""",
+        "ner_bio": f"WITH {_A}, {tokens}, {bio} SELECT sentence_id, token_no, tag FROM tagged",
         "span_invariant_errors": f"""WITH {_A}, {_R}, q AS (SELECT a.sentence_id, r.text, 'ner_spans' AS span_set, generate_subscripts(ner_spans, 1) - 1 AS k, unnest(ner_spans) AS p FROM a JOIN r USING (sentence_id)), w AS (SELECT a.sentence_id, r.text, generate_subscripts(ner_annotator_spans, 1) - 1 AS g, unnest(ner_annotator_spans) AS s FROM a JOIN r USING (sentence_id)),
 u AS (SELECT * FROM q UNION ALL SELECT sentence_id, text, 'ner_annotator_spans[' || g || ']', generate_subscripts(s, 1) - 1, unnest(s) FROM w) SELECT sentence_id, span_set, k::INT AS span_no, p.start AS start, p."end" AS "end", substring(text, p.start + 1, p."end" - p.start) AS text_there FROM u WHERE substring(text, p.start + 1, p."end" - p.start) IS DISTINCT FROM p.text""",
         "toxicity_label_errors": f"WITH v AS (SELECT DISTINCT item_id || '/' || annotator AS sentence_id, list_concat(labels, labels[1:1]) AS l FROM tox_votes), b AS (SELECT sentence_id, 'invalid' AS error, list_filter(l, lambda x: x NOT IN ({_in(CATEGORIES)})) AS labels FROM v UNION ALL SELECT sentence_id, 'duplicate', list_transform(list_filter(range(1, len(l) + 1), lambda i: list_contains(l[1:i - 1], l[i])), lambda i: l[i]) FROM v) SELECT sentence_id, error, array_to_string(labels, ',') AS labels FROM b WHERE len(labels) > 0",
