@@ -5,7 +5,8 @@ selected) and met with all rolling hashes of the evaluation wordings; seeds are
 order for all records (seldom in evaluation first, by a table of ``BUCKETS`` counts) a train wording shows only so many of
 its selected fingerprints that a partner which shares ``SHARED`` of them must meet one (prefix filter). The join on a
 seed also tests, before any text moves, what coverage implies: like lengths, like places, and words in common (128-bit
-word sets). Wordings of up to ``SHORT`` words show pairs of words in the same way too. Of the candidates, shared seeds are chained collinearly, extended by equal words and the gaps between them
+word sets). A fingerprint that very many share, as an opening in a third of all records, is no key by itself: it is split by
+the wordings' seldom words, so many of each that two that have enough words in common meet at one. Wordings of up to ``SHORT`` words show pairs of words in the same way too. Of the candidates, shared seeds are chained collinearly, extended by equal words and the gaps between them
 aligned; coverage is the share of the longer wording that is so explained, moved words included. Wordings of up to
 ``BRIEF`` words, of which one edit may leave no seed, also meet by all their forms with one word left out, which is exact
 for one word added, dropped, moved, misspelt or replaced. Exact copies meet as one wording.
@@ -33,7 +34,9 @@ from corpuskit.operators.counts import count_table
 
 GRAM, WINDOW, SHARED, COVERED = 3, 2, 0.25, 0.75
 #: Of a covered wording, so many of its words may be misspelt: the rest of the covered ones are equal.
-MISSPELT = 0.2
+MISSPELT = 0.1
+#: A fingerprint in more evaluation wordings than this (about) is split by words; any bound gives the same pairs.
+HOT = 1024
 BRIEF, SHORT = 9, 16
 #: Size of the table of counts by hash of a fingerprint (two bytes each), whatever the corpus.
 BUCKETS = 1 << 21
@@ -70,6 +73,23 @@ def families(words: list[str]) -> list[np.ndarray]:
     return [rolling(words), rolling(words, 2)] if len(words) <= SHORT else [rolling(words)]
 
 
+def word_keys(words: list[str]) -> np.ndarray:
+    """The distinct words as hashes."""
+    h = np.unique(np.fromiter((_hash[w] for w in words), np.uint64, len(words)))
+    with np.errstate(over="ignore"):
+        return (h * _MIX).view(np.int64)
+
+
+def splitting_words(words: list[str], often: np.ndarray, train: bool) -> np.ndarray:
+    """The seldom words of which two wordings with enough equal words share one: in one order for all wordings, as many as
+    may be lacking and one. In train, those that stand in no evaluation wording need no place."""
+    v = word_keys(words)
+    seen = often[v & (BUCKETS - 1)]
+    lacking = len(words) - int(np.ceil((COVERED - MISSPELT) * len(words) - 1e-9))
+    order = np.lexsort((v, seen))[: lacking + 1]
+    return v[order[seen[order] > 0]] if train else v[order]
+
+
 def first_places(roll: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values of ``roll[at]``, each with its first place."""
     v, i = np.unique(roll[at], return_index=True)
@@ -169,7 +189,7 @@ def _wordings(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _buckets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in it:
-        rolls = [np.unique(r) for t in b.column("wording").to_pylist() for r in families(t.split())]
+        rolls = [np.unique(r) for t in b.column("wording").to_pylist() for r in (*families(t.split()), word_keys(t.split()))]
         v, n = np.unique(np.concatenate([np.zeros(0, np.int64), *rolls]) & (BUCKETS - 1), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int32)), pa.array(n)], names=["bucket", "n"])
 
@@ -186,7 +206,7 @@ _PRINTS = "fp bigint, w bigint, length int, at int, need int, lo bigint, hi bigi
 _KINDS = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
 
 
-def _prints(it: Iterator[pa.RecordBatch], often: np.ndarray, train: bool) -> Iterator[pa.RecordBatch]:
+def _prints(it: Iterator[pa.RecordBatch], often: np.ndarray, train: bool, most: int) -> Iterator[pa.RecordBatch]:
     """Train: the prefix of the selected fingerprints, ``need`` the number to be shared. Evaluation: all, ``need`` the
     number that follow it in the order, and it."""
     for b in it:
@@ -205,7 +225,17 @@ def _prints(it: Iterator[pa.RecordBatch], often: np.ndarray, train: bool) -> Ite
                     order = order[: n - share + 1]
                     order = order[seen[order] > 0]
                     need = np.full(len(order), share)
-                for c, x in zip(cols, (v[order].tolist(), [w] * len(order), [len(words)] * len(order), at[order].tolist(), need.tolist(), [lo] * len(order), [hi] * len(order))):
+                key = v[order]
+                hot = seen[order] > most
+                if hot.any():
+                    by = splitting_words(words, often, train)
+                    with np.errstate(over="ignore"):
+                        split = ((key[hot, None].view(np.uint64) + by[None, :].view(np.uint64)) * _MIX).view(np.int64)
+                    times = np.where(hot, len(by), 1)
+                    order, need = np.repeat(order, times), np.repeat(need, times)
+                    key = np.repeat(key, times)
+                    key[np.repeat(hot, times)] = split.ravel()
+                for c, x in zip(cols, (key.tolist(), [w] * len(order), [len(words)] * len(order), at[order].tolist(), need.tolist(), [lo] * len(order), [hi] * len(order))):
                     c += x
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _KINDS)], names=["fp", "w", "length", "at", "need", "lo", "hi"])
 
@@ -243,9 +273,9 @@ def often_in(words: DataFrame) -> np.ndarray:
 def candidates(words: DataFrame) -> DataFrame:
     """(w_train, w_eval) of wordings (w, wording, sides: 1 train, 2 evaluation, 3 both) that may be the same post."""
     train, evaluation = words.where("sides in (1, 3)").select("w", "wording"), words.where("sides in (2, 3)").select("w", "wording")
-    often = words.sparkSession.sparkContext.broadcast(often_in(evaluation))
-    a = train.mapInArrow(lambda it: _prints(it, often.value, True), _PRINTS).select("fp", F.col("w").alias("w_train"), *(F.col(c).alias(f"{c}_a") for c in ("length", "at", "need", "lo", "hi")))
-    b = evaluation.mapInArrow(lambda it: _prints(it, often.value, False), _PRINTS).select("fp", F.col("w").alias("w_eval"), *(F.col(c).alias(f"{c}_b") for c in ("length", "at", "need", "lo", "hi")))
+    often, most = words.sparkSession.sparkContext.broadcast(often_in(evaluation)), HOT
+    a = train.mapInArrow(lambda it: _prints(it, often.value, True, most), _PRINTS).select("fp", F.col("w").alias("w_train"), *(F.col(c).alias(f"{c}_a") for c in ("length", "at", "need", "lo", "hi")))
+    b = evaluation.mapInArrow(lambda it: _prints(it, often.value, False, most), _PRINTS).select("fp", F.col("w").alias("w_eval"), *(F.col(c).alias(f"{c}_b") for c in ("length", "at", "need", "lo", "hi")))
     longer = F.greatest("length_a", "length_b")
     alien = F.bit_count(F.col("lo_a").bitwiseAND(F.bitwise_not("lo_b"))) + F.bit_count(F.col("hi_a").bitwiseAND(F.bitwise_not("hi_b")))
     back = F.bit_count(F.col("lo_b").bitwiseAND(F.bitwise_not("lo_a"))) + F.bit_count(F.col("hi_b").bitwiseAND(F.bitwise_not("hi_a")))

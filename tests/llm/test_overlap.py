@@ -1,5 +1,6 @@
 import random
 
+from corpuskit.llm import overlap
 from corpuskit.llm.overlap import chain, coverage, cross_split_pairs, record_coverage, rolling, seeds, selected
 
 SCHEMA = "sentence_id string, text string, split string"
@@ -69,6 +70,22 @@ def test_recall_with_one_word_in_five_edited(spark):
         assert share >= (0.98 if lo < 10 else 0.95), (lo, even, share)
 
 
+def test_splitting_hot_fingerprints_changes_nothing(spark, monkeypatch):
+    rng = random.Random(9)
+    words = [f"{a}{b}{c}" for a in "kmtr" for b in "aeiou" for c in ("lo", "sta", "ndi", "pur")]
+    opening = "suno suno sab log aaj".split()
+    rows = []
+    for i in range(300):
+        x = opening + [rng.choice(words) for _ in range(rng.randint(6, 14))] if i % 3 else [rng.choice(words) for _ in range(rng.randint(4, 16))]
+        rows += [(f"{i}a", " ".join(x), "train"), (f"{i}b", " ".join(_edited(x, rng, words, False)), "test")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = []
+    for hot in (10**9, 20, 0):
+        monkeypatch.setattr(overlap, "HOT", hot)
+        got.append({tuple(r) for r in cross_split_pairs(df).collect()})
+    assert got[0] == got[1] == got[2] and len(got[0]) >= 290
+
+
 def test_copies_cases_and_names(spark):
     long = "ek do teen char paanch chhe saat aath nau das gyarah barah"
     rows = [("1", long, "train"), ("2", "FWD: " + long.upper() + " #tag", "test"), ("2", long, "test"), ("3", long, "train"), ("4", None, "test"), ("5", "", "test"), ("6", "...", "train"), ("7", "x y", "train"), ("7", "x y", "validation"), ("8", "X  y!", "test"), ("9", long, None)]
