@@ -1,7 +1,8 @@
 """State of annotators folded from an event log: assignments, opt-outs, the replacement queue, daily exposure.
 
 Events are (event_id unique, ts, annotator_id, kind: assign, opt_out, reassign or expose, sentence_id, n); their order is
-(ts, event_id). A fold is a grouped maximum, so no annotator's or sentence's history is gathered in one task.
+(ts, event_id). Folds are grouped maxima; gathered into arrays are only the opt-outs of an annotator and, to find invalid
+reassignments, the releases and reassignments of a sentence, which are few.
 """
 
 from __future__ import annotations
