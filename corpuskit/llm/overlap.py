@@ -5,15 +5,17 @@ selected) and met with all rolling hashes of the evaluation wordings; seeds are
 order for all records (seldom in evaluation first, by a table of ``BUCKETS`` counts) a train wording shows only so many of
 its selected fingerprints that a partner which shares ``SHARED`` of them must meet one (prefix filter). The join on a
 seed also tests, before any text moves, what coverage implies: like lengths, like places, and words in common (128-bit
-word sets). A fingerprint that very many share, as an opening in a third of all records, is no key by itself: it is split by
-the wordings' seldom words, so many of each that two that have enough words in common meet at one. Wordings of up to ``SHORT`` words show pairs of words in the same way too. Of the candidates, shared seeds are chained collinearly, extended by equal words and the gaps between them
-aligned; coverage is the share of the longer wording that is so explained, moved words included. Wordings of up to
-``BRIEF`` words, of which one edit may leave no seed, also meet by all their forms with one word left out, which is exact
-for one word added, dropped, moved, misspelt or replaced. Exact copies meet as one wording.
-
-Cases: null texts and texts without words match nothing; wordings under four
-words match only as exact copies or where a longer one is theirs with one word more; repeated rows count once; an empty table gives no pairs; a
-record in several splits is on each side it is in; platform and split may be null (p1_rates shows them so).
+word sets). A fingerprint that very many share, as an opening in a third of all records, is no key by itself: it is split
+by the wordings' seldom words, so many of each that two with enough words in common meet at one. Wordings of up to
+``SHORT`` words show pairs of words in the same way too. Of the candidates, shared seeds are chained collinearly, extended
+by equal words and the gaps between them aligned; coverage is the share of the longer wording that is so explained, moved
+words included. Wordings of up to ``BRIEF`` words, of which one edit may leave no seed, also meet by all their forms with
+one word left out, which is exact for one word added, dropped, moved, misspelt or replaced. Exact copies meet as one
+wording.
+
+Cases: null texts and texts without words match nothing; wordings under four words match only as exact copies or where a
+longer one is theirs with one word more; repeated rows count once; an empty table gives no pairs; a record in several
+splits is on each side it is in; platform and split may be null (p1_rates shows them so).
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from corpuskit.functions.session import cut
 from corpuskit.llm.canon import skeleton
 from corpuskit.operators.counts import count_table
 
-GRAM, WINDOW, SHARED, COVERED = 3, 2, 0.25, 0.75
+GRAM, SHARED, COVERED = 3, 0.25, 0.75
 #: Of a covered wording, so many of its words may be misspelt: the rest of the covered ones are equal.
 MISSPELT = 0.1
 #: A fingerprint in more evaluation wordings than this (about) is split by words; any bound gives the same pairs.
