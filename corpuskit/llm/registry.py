@@ -10,4 +10,4 @@ QUERIES = {
         mix.p9_found, mix.p9_mixture, mix.p9_report, pieces.p10_found, pieces.p10_pieces,
     )
 }
-SQL = sample.SQL | unify.SQL
+SQL = sample.SQL | unify.SQL | votes.SQL
