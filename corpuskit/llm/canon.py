@@ -40,6 +40,8 @@ _ONE = _WIDE | dict.fromkeys(map(ord, SPACES), 0x20)
 _LOOK = str.maketrans(LOOKALIKES)
 _GONE = set(INVISIBLE)
 _SUSPECT = regex.compile("[" + "".join(LIGATURES) + SPACES + INVISIBLE + "\u200d\ufe00-\ufe0f\uff01-\uff5e\u0958-\u095f" + "".join(LOOKALIKES) + "]|[अआएउ]\\p{M}")
+_SPECIAL = regex.compile("[" + "".join(LIGATURES) + INVISIBLE + "\u200d\ufe00-\ufe0f]")
+_SPLIT = regex.compile(r"[अआएउ]\p{M}")
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
 _LETTER = regex.compile(r"\p{L}")
 _KEEP = regex.compile(r"[\p{So}\p{Sk}\ufe0f\U0001f3fb-\U0001f3ff]")
@@ -59,23 +61,35 @@ def plain_map(text: str) -> tuple[str, list[int] | None]:
     """The plain form and the source place of each of its characters (None: places are unchanged)."""
     if text.isascii() or (not _SUSPECT.search(text) and unicodedata.is_normalized("NFC", text)):
         return text, None
-    kept, at = [], []
-    n = len(text)
-    for i, ch in enumerate(text):
+    kept: list[str] = []
+    at: list[int] = []
+    n, end = len(text), 0
+    for m in _SPECIAL.finditer(text):
+        i, ch = m.start(), m.group()
+        kept += text[end:i].translate(_ONE)
+        at += range(end, i)
+        end = i + 1
         if ch in _GONE:
             continue
         if ch == "\u200d":
             if not (i and i + 1 < n and _KEEP.match(text[i - 1]) and _KEEP.match(text[i + 1])):
                 continue
-        elif "\ufe00" <= ch <= "\ufe0f" and not (i and _KEEP.match(text[i - 1])):
+        elif ch not in LIGATURES and not (i and _KEEP.match(text[i - 1])):
             continue
-        for x in LIGATURES.get(ch) or chr(_ONE.get(ord(ch), ord(ch))):
+        for x in LIGATURES.get(ch, ch):
             kept.append(x)
             at.append(i)
-    for m in _WORD.finditer("".join(kept)):
-        w = m.group()
-        if _FOREIGN.search(w) and disguised(w, text):
-            kept[m.start() : m.end()] = w.translate(_LOOK)
+    kept += text[end:].translate(_ONE)
+    at += range(end, n)
+    whole = "".join(kept)
+    if _FOREIGN.search(whole):
+        for m in _WORD.finditer(whole):
+            w = m.group()
+            if _FOREIGN.search(w) and disguised(w, text):
+                kept[m.start() : m.end()] = w.translate(_LOOK)
+        whole = "".join(kept)
+    if unicodedata.is_normalized("NFC", whole) and not _SPLIT.search(whole):
+        return whole, at
     out, places, i, n = [], [], 0, len(kept)
     while i < n:  # by base letter with its marks, so that places survive composition
         j = i + 1

@@ -56,6 +56,7 @@ TRADE = regex.compile(r"(?:पार्सल|parcel|order|ऑर्डर|ब
 MAILED = regex.compile(r"@|at[)\]]| at .* dot ", regex.I)
 TITLES = {"श्री", "श्रीमती", "डॉ", "shri", "smt", "dr", "mr", "mrs", "ms"}
 _WORDS = regex.compile(r"[\p{L}\p{M}]+")
+_DIGIT = regex.compile(_D)
 
 
 #: No names although they stand in person spans: forms of address.
@@ -106,11 +107,10 @@ def finds(text: str, names: Names, dates: bool = False) -> list[tuple[str, int,
         if (not i or out[i - 1][1] <= a) and (i == len(out) or out[i][0] >= b):
             out.insert(i, (a, b, kind))
 
-    digits = any("0" <= c <= "9" or "०" <= c <= "९" for c in t)
     if MAILED.search(t):
         for m in EMAIL.finditer(t):
             add("email", *m.span())
-    if digits:
+    if _DIGIT.search(t):
         links = [m.span() for m in regex.finditer(r"https?://\S+", t)]
         for m in ADDRESS.finditer(t):
             add("address", *m.span())
@@ -122,13 +122,18 @@ def finds(text: str, names: Names, dates: bool = False) -> list[tuple[str, int,
                 add(kind, a, m.end())
         for m in DATE.finditer(t) if dates else ():
             add("date", *m.span())
-    words = [(m.group().lower(), m.start(), m.end()) for m in _WORDS.finditer(t)]
+    low = [w.lower() for w in _WORDS.findall(t)]
+    kinds = [names[w] for w in low]
+    words = [(w, *m.span()) for w, m in zip(low, _WORDS.finditer(t))] if any(kinds) else []
     i = 0
     while i < len(words):
+        kind = kinds[i]
+        if not kind:
+            i += 1
+            continue
         w, a, b = words[i]
         j = i + 1
         start = None
-        kind = names[w]
         free = a == 0 or t[a - 1] not in "#@_/"
         if kind == 1 and free:
             start = a
@@ -139,7 +144,7 @@ def finds(text: str, names: Names, dates: bool = False) -> list[tuple[str, int,
             elif p in TITLES and t[pb:a].strip(" .") == "":
                 start = a
         if start is not None:
-            while j < len(words) and names[words[j][0]] == 2 and t[words[j - 1][2] : words[j][1]] == " ":
+            while j < len(words) and kinds[j] == 2 and t[words[j - 1][2] : words[j][1]] == " ":
                 j += 1
             add("name", start, words[j - 1][2])
         i = j
