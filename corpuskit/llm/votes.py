@@ -3,15 +3,16 @@
 Method: expectation-maximisation over per-annotator confusion matrices with smoothing. A unit is an item's sentiment
 (three labels), an item and toxicity category, or an item and span marked by an annotator or the expert (both yes or
 no). All votes on an item, from the vote tables and the sentences' arrays, and the expert's decision meet in one shuffle
-and are written once as unit rows with their votes in them; a round reads these rows, computes the label posteriors in
-numpy with the confusion matrices at hand, and gives partial sums of expected counts by (annotator, truth, label), which
-are all that moves. Rounds end when the log likelihood of the votes rises by less than ``ENOUGH`` of itself a round.
+and are written once as unit rows with their votes in them, and then as blocks of many units; a round reads the blocks,
+computes the label posteriors in numpy with the confusion matrices at hand, and gives expected counts by (annotator, truth,
+label), which are all that moves. Rounds end when the log likelihood of the votes rises by less than ``ENOUGH`` of itself a round.
 Adjudicated units keep the expert's answer. Chance-corrected agreement (Cohen's kappa, the mean over all pairs of annotators, and toxicity
 categories) is reported separately, over spans that some annotator marked.
 
-The confusion matrices are a table of the annotators, not of the items: 17 numbers each. Up to ``MOST_ANNOTATORS``
-annotators they are handed to the tasks (136 bytes each, at most 14 MB); above, annotators beyond stay in the table and
-are joined to the votes (``joined_round``), with the same result.
+The confusion matrices are a table of the annotators, not of the items: 17 numbers each. They stay a table, however many
+annotators there are, and every block is joined to those of its own annotators, at most as many as it has votes; only
+the labels' shares and the likelihood, eight numbers a round, pass the driver. Expected counts are summed as integers,
+so results do not depend on how many annotators there are, nor on how tasks divide the units.
 
 Arrays of annotated_sentences: element k is the answer of the item's k-th annotator by number; it counts where the vote
 tables have no answer of that annotator. Items without vote rows have annotators -1, -2, ... by place.
@@ -24,16 +25,19 @@ tables give empty results; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuskit.functions.session import cut
 
 ENOUGH, MOST_ROUNDS = 1e-5, 60
-MOST_ANNOTATORS = 100_000
+#: Votes a block, at least if there are as many. Parts of 1 that expected counts and log likelihoods are summed in.
+BLOCK, COUNT, LIKE, HALF = 1 << 17, 2.0**40, 2.0**20, 20
 #: Added to every cell of a matrix, and more of it to its right answers: little is known of an annotator with few votes
 #: but that they are better than chance.
 SMOOTH, TRUST = 1.0, 3.0
@@ -144,8 +148,40 @@ def units(s: SparkSession, d: str) -> DataFrame:
     return cut(v.mapInArrow(_build, _UNITS))
 
 
-def _flat(b: pa.RecordBatch, people: np.ndarray) -> Iterator[tuple]:
-    """(task, unit rows, bit or -1, expert, unit of each vote, annotator of each vote, label of each vote)."""
+def _pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Unit rows as blocks: (part, who, votes, names); in ``votes`` an annotator is a place in the sorted ``who``."""
+    part, held, n = TaskContext.get().partitionId() << 32, [], 0
+    for b in chain(it, [None]):
+        if b is not None and b.num_rows:
+            held.append(b)
+            n += len(b.column("who").flatten())
+        if held and (b is None or n >= BLOCK):
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            who, label = rows.column("who"), rows.column("label").flatten().cast(pa.int8())
+            people, place = np.unique(who.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+            ends = pa.array(np.concatenate([[0], np.cumsum(who.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int32))
+            cols = [rows.column("task").cast(pa.int8()), rows.column("expert").cast(pa.int8()), pa.ListArray.from_arrays(ends, pa.array(place, pa.int32())), pa.ListArray.from_arrays(ends, label)]
+            blobs = [_blob(pa.RecordBatch.from_arrays(cols, names=["task", "expert", "who", "label"])), _blob(rows.select(["item", "sub"]))]
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([people], pa.list_(pa.int32())), *(pa.array([x], pa.binary()) for x in blobs)], names=["part", "who", "votes", "names"])
+            part, held, n = part + 1, [], 0
+
+
+_BLOCKS = "part bigint, who array<int>, votes binary, names binary"
+
+
+def _blob(b: pa.RecordBatch) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, b.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as w:
+        w.write_batch(b)
+    return out.getvalue().to_pybytes()
+
+
+def _batch(blob: pa.BinaryScalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(blob.as_buffer()).read_next_batch()
+
+
+def _flat(b: pa.RecordBatch) -> Iterator[tuple]:
+    """(task, unit rows, bit or -1, expert, unit of each vote, place of its annotator, its label), of a block's votes."""
     task = b.column("task").to_numpy(zero_copy_only=False)
     expert = b.column("expert").to_numpy(zero_copy_only=False)
     for t in (0, 1, 2):
@@ -155,8 +191,8 @@ def _flat(b: pa.RecordBatch, people: np.ndarray) -> Iterator[tuple]:
         who, label = (b.column(c).take(pa.array(at)) for c in ("who", "label"))
         n = who.value_lengths().to_numpy(zero_copy_only=False)
         unit = np.repeat(np.arange(len(at)), n)
-        place = np.searchsorted(people, who.flatten().to_numpy(zero_copy_only=False))
-        said = label.flatten().to_numpy(zero_copy_only=False)
+        place = who.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        said = label.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         for bit in range(4) if t == 1 else (-1,):
             e = expert[at]
             if t == 1:
@@ -165,7 +201,7 @@ def _flat(b: pa.RecordBatch, people: np.ndarray) -> Iterator[tuple]:
 
 
 def _posterior(t: int, n: int, e: np.ndarray, unit: np.ndarray, place: np.ndarray, said: np.ndarray, conf: np.ndarray | None, prior: np.ndarray | None) -> tuple[np.ndarray, float]:
-    """(units, labels) probabilities, and the log likelihood of the votes; without matrices the share of the votes."""
+    """(units, labels) probabilities, and the log likelihood of the votes in parts of ``LIKE``; without matrices the share of the votes."""
     k = SIZES[t]
     z = np.zeros((n, k))
     if conf is None:
@@ -177,26 +213,44 @@ def _posterior(t: int, n: int, e: np.ndarray, unit: np.ndarray, place: np.ndarra
         top = z.max(1, keepdims=True)
         x = np.exp(z - top)
         total = x.sum(1, keepdims=True)
-        p, like = x / total, float((top + np.log(total)).sum())
+        p, like = x / total, float(np.rint((top + np.log(total)) * LIKE).sum())
     known = e >= 0
     p[known] = 0
     p[np.flatnonzero(known), e[known]] = 1
     return p, like
 
 
-def _expected(it: Iterator[pa.RecordBatch], people: np.ndarray, conf: np.ndarray | None, prior: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Partial sums of a task: expected counts by cell, units by truth (cells after the last annotator's), likelihood."""
-    sums = np.zeros(len(people) * CELLS + 8)
+def _matrices(people: np.ndarray, counts: pa.ListScalar) -> np.ndarray | None:
+    """Logs of the matrices of a block's annotators, in their order; none before the first round."""
+    if not counts.is_valid:
+        return None
+    c = counts.values.field("c").flatten().to_numpy(zero_copy_only=False).reshape(-1, CELLS)
+    order = np.argsort(counts.values.field("a").to_numpy(zero_copy_only=False))
+    return maximise(np.concatenate([c[order].ravel(), np.zeros(8)]), len(people))[0]
+
+
+def _blocks(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, pa.RecordBatch, np.ndarray | None]]:
+    for i in range(b.num_rows):
+        people = b.column("who")[i].values.to_numpy(zero_copy_only=False)
+        yield i, people, _batch(b.column("votes")[i]), _matrices(people, b.column("counts")[i])
+
+
+def _expected(it: Iterator[pa.RecordBatch], prior: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Expected counts of each annotator of a block in parts of ``COUNT``, as two halves whose sums have room; those of no
+    annotator are the units by truth and the likelihood."""
     for b in it:
-        for t, at, _, e, unit, place, said in _flat(b, people):
-            p, like = _posterior(t, len(at), e, unit, place, said, conf, prior)
-            k = SIZES[t]
-            for truth in range(k):
-                np.add.at(sums, place * CELLS + STARTS[t] + truth * k + said, p[unit, truth])
-                sums[len(people) * CELLS + (0, 3, 5)[t] + truth] += p[:, truth].sum()
-            sums[-1] += like
-    cell = np.flatnonzero(sums)
-    yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(sums[cell])], names=["cell", "c"])
+        for _, people, votes, conf in _blocks(b):
+            sums = np.zeros((len(people) + 1) * CELLS, np.int64)
+            own = sums[len(people) * CELLS :]
+            for t, at, _, e, unit, place, said in _flat(votes):
+                p, like = _posterior(t, len(at), e, unit, place, said, conf, prior)
+                q, k = np.rint(p * COUNT).astype(np.int64), SIZES[t]
+                for truth in range(k):
+                    np.add.at(sums, place * CELLS + STARTS[t] + truth * k + said, q[unit, truth])
+                    own[(0, 3, 5)[t] + truth] += q[:, truth].sum()
+                own[7] += int(like)
+            halves = np.stack([sums >> HALF, sums & (1 << HALF) - 1]).reshape(2, -1, CELLS)
+            yield pa.RecordBatch.from_arrays([pa.array([*people.tolist(), None], pa.int32()), *(pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), CELLS).cast(pa.list_(pa.int64())) for x in halves)], names=["a", "hi", "lo"])
 
 
 def maximise(sums: np.ndarray, people: int) -> tuple[np.ndarray, np.ndarray]:
@@ -211,11 +265,12 @@ def maximise(sums: np.ndarray, people: int) -> tuple[np.ndarray, np.ndarray]:
     return conf, prior
 
 
-def _answers(it: Iterator[pa.RecordBatch], people: np.ndarray, conf: np.ndarray, prior: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _answers(it: Iterator[pa.RecordBatch], prior: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(task, item, sub, label, p, votes) of every unit; ``votes`` has the annotators and whether each was right."""
-    for b in it:
-        items, subs = b.column("item"), b.column("sub").to_pylist()
-        for t, at, bit, e, unit, place, said in _flat(b, people):
+    for i, people, votes, conf, names_of in ((*x, b.column("names")[x[0]]) for b in it for x in _blocks(b)):
+        items, subs = (_batch(names_of).column(c) for c in ("item", "sub"))
+        subs = subs.to_pylist()
+        for t, at, bit, e, unit, place, said in _flat(votes):
             p, _ = _posterior(t, len(at), e, unit, place, said, conf, prior)
             best = p.argmax(1)
             right = said == best[unit]
@@ -229,38 +284,36 @@ def _answers(it: Iterator[pa.RecordBatch], people: np.ndarray, conf: np.ndarray,
 _ANSWERS = "task string, item string, sub string, label string, p double, who array<int>, right array<boolean>"
 
 
-def fitted(u: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[float]]:
-    """Annotators, matrices, shares, and the log likelihood after each round."""
-    got = u.select(F.explode("who").alias("a")).distinct().orderBy("a").limit(MOST_ANNOTATORS + 1).toArrow().column("a").to_numpy()
-    if len(got) > MOST_ANNOTATORS:
-        raise OverflowError
-    people, conf, prior, likes = got, None, None, []
-    sc = u.sparkSession.sparkContext
+def fitted(u: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray, list[float]]:
+    """The units' blocks, (part, counts) of their annotators, the labels' shares, and the log likelihood after each round."""
+    blocks = cut(u.where("task < 3").mapInArrow(_pack, _BLOCKS))
+    near = cut(blocks.select("part", F.explode("who").alias("a")))
+    held = blocks.select("part", "who", "votes").repartition("part").persist(StorageLevel.DISK_ONLY)
+    of = held.withColumn("counts", F.lit(None).cast("array<struct<a:int,c:array<double>>>"))
+    prior, likes = None, []
     for _ in range(MOST_ROUNDS):
-        model = sc.broadcast((people, conf, prior))
-        part = u.where("task < 3").mapInArrow(lambda it, m=model: _expected(it, *m.value), "cell bigint, c double").groupBy("cell").agg(F.sum("c").alias("c")).toArrow()
-        sums = np.zeros(len(people) * CELLS + 8)
-        sums[part.column("cell").to_numpy()] = part.column("c").to_numpy()
-        conf, prior = maximise(sums, len(people))
-        likes.append(float(sums[-1]))
-        if len(likes) > 2 and likes[-1] - likes[-2] < ENOUGH * abs(likes[-2]):
+        part = of.mapInArrow(lambda it, p=prior: _expected(it, p), "a int, hi array<bigint>, lo array<bigint>")
+        sums = cut(part.groupBy("a").agg(F.array(*(F.sum(F.get("hi", F.lit(i))) * (2.0**HALF / COUNT) + F.sum(F.get("lo", F.lit(i))) / COUNT for i in range(CELLS))).alias("c")))
+        own = next((np.array(r.c) for r in sums.where("a is null").collect()), np.zeros(CELLS))
+        prior = maximise(own[:8], 0)[1]
+        likes.append(float(own[7]) * COUNT / LIKE)
+        counts = sums.where("a is not null").join(near, "a").groupBy("part").agg(F.collect_list(F.struct("a", "c")).alias("counts"))
+        of = held.join(counts, "part")
+        if len(likes) > 2 and likes[-1] - likes[-2] <= ENOUGH * abs(likes[-2]):
             break
-    return people, conf, prior, likes
+    held.unpersist()
+    return blocks, counts, prior, likes
 
 
 def answers(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The answer to every unit, and the units."""
     u = units(s, d)
-    try:
-        people, conf, prior, _ = fitted(u)
-    except OverflowError:
-        return joined_answers(u), u
-    model = s.sparkContext.broadcast((people, conf, prior))
-    return u.where("task < 3").mapInArrow(lambda it: _answers(it, *model.value), _ANSWERS), u
+    blocks, counts, prior, _ = fitted(u)
+    return blocks.join(counts, "part").mapInArrow(lambda it: _answers(it, prior), _ANSWERS), u
 
 
-def joined_answers(u: DataFrame, rounds: int = 8) -> DataFrame:
-    """The same by joins, for more annotators than a task should hold: a round joins votes with matrices by annotator."""
+def joined_answers(u: DataFrame, rounds: int) -> DataFrame:
+    """The answers after so many rounds by joins of single votes, for comparison in tests; no query takes this way."""
     bits = F.when(F.col("task") == 1, F.array(*map(F.lit, range(4)))).otherwise(F.array(F.lit(-1)))
     one = lambda c: F.when((F.col("bit") < 0) | (c < 0), c).otherwise((c.bitwiseAND(F.expr("shiftleft(1, greatest(bit, 0))")) != 0).cast("int"))
     v = u.where("task < 3").withColumn("bit", F.explode(bits)).select("task", "item", "sub", "bit", one(F.col("expert")).alias("expert"), F.explode(F.zip_with("who", "label", lambda w, l: F.struct(w.alias("who"), l.alias("label")))).alias("v"))
